@@ -159,9 +159,10 @@ def train(
     best, best_scores, weights, idle = None, {"val_f1": -1.0}, None, 0
     for number in range(1, rounds + 1):
         learner = MultilayerPerceptronClassifier(
-            layers=layers, maxIter=steps, seed=seed, featuresCol="features", labelCol="label",
-            initialWeights=weights,
+            layers=layers, maxIter=steps, seed=seed, featuresCol="features", labelCol="label"
         )
+        if weights is not None:
+            learner.setInitialWeights(weights)
         fitted = learner.fit(scaled)
         weights = fitted.weights
         model = PipelineModel(stages=[*scaler.stages, fitted])

@@ -83,7 +83,7 @@ def read_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """For work that is heavy per byte: a small table is spread over the cores, a large one is split
     by its files already and is left as it is."""
     df = read(spark, sf_dir, table)
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_TABLE_BYTES else df
 
 
@@ -203,17 +203,34 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: one unified diff per PR; a PR has at most 20 documents."""
     part = F.struct("doc_id", F.concat_ws("\n", "header", "patch").alias("text"))
-    return sections(spark, sf_dir).groupBy("pr_id", "repo").agg(
+    whole = sections(spark, sf_dir).groupBy("pr_id", "repo").agg(
         F.concat(
             F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(part)), lambda s: s["text"])),
             F.lit("\n"),
         ).alias("diff")
     )
+    empty = _drafts(spark, sf_dir).filter(F.col("draft") % 2 == 0)
+    return whole.unionByName(empty.select("pr_id", "repo", F.lit("").alias("diff")))
+
+
+def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRs without a diff, or with an empty one: one for each forty labelled documents."""
+    draft = F.floor(F.col("doc_id") / 40)
+    return read(spark, sf_dir, "labels").select(draft.alias("draft")).distinct().select(
+        "draft",
+        F.concat(F.lit("draft-"), F.col("draft").cast("string")).alias("pr_id"),
+        F.lit("org/draft").alias("repo"),
+    )
 
 
 def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V4: PR list and metadata. Some have no title, some no body, and each twentieth has no diff."""
+    """V4: PR list and metadata; some have no title, some no body, and drafts have neither."""
     number = F.col("pr_number")
+    drafts = _drafts(spark, sf_dir).select(
+        "pr_id", "repo", (-F.col("draft") - 1).alias("pr_number"),
+        F.concat(F.lit("draft"), F.col("draft").cast("string")).alias("head_sha"),
+        *[F.lit(None).cast("string").alias(c) for c in ("title", "body", "base_branch")],
+    )
     return (
         read(spark, sf_dir, "documents")
         .groupBy(
@@ -228,6 +245,7 @@ def pull_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(number % 7 != 3, F.col("text")).alias("body"),
             F.when(number % 2 == 0, F.lit("main")).alias("base_branch"),
         )
+        .unionByName(drafts)
     )
 
 
@@ -312,7 +330,7 @@ def commit_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 _REVIEW_TYPES = ["bug", "security", "performance", "style", "naming"]
 
 
-def _order_file(prefix: str = "") -> Column:
+def _order_file() -> Column:
     return F.concat_ws(
         "", F.lit("svc/o"), F.col("l_orderkey").cast("string"), F.lit("/m"),
         F.col("l_linenumber").cast("string"), F.lit("_"), F.col("l_partkey").cast("string"),
@@ -351,10 +369,13 @@ def reviewed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     base = _reviewed(spark, sf_dir)
     rows = F.array_compact(F.array(
-        F.struct((n * 10).alias("chunk_ord"), (n * 10).alias("start_line"), first.alias("added_lines")),
+        F.struct(
+            (n * 10).alias("chunk_ord"), (n * 10).alias("start_line"), first.alias("added_lines"),
+            F.when((p + s) % 4 == 0, 0.3).otherwise(0.8).alias("score"),
+        ),
         F.when(n % 2 == 0, F.struct(
             (n * 10 + 1).alias("chunk_ord"), F.lit(200).cast("bigint").alias("start_line"),
-            second.alias("added_lines"),
+            second.alias("added_lines"), F.when((p + s) % 8 == 0, 0.3).otherwise(0.8).alias("score"),
         )),
     ))
     return base.select("pr_id", "file_path", F.explode(rows).alias("c")).select(
@@ -362,13 +383,13 @@ def reviewed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("c.start_line") + F.size("c.added_lines") - 1).alias("end_line"),
         "c.added_lines",
         F.array().cast("array<string>").alias("context_lines"),
+        "c.score",
     )
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V5: the reviewer's answer for each of those files, in every shape an answer can take."""
     n, p, s, q, d = (F.col(c) for c in ["n", "p", "s", "q", "l_discount"])
-    size = len(CODE_LINES)
     kind = _pick(_REVIEW_TYPES, (p + n) % 5)
     severity = _pick(["high", "medium", "low"], s % 3)
     content = (
@@ -383,30 +404,33 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" because the value may be out of its range here"),
         F.when(p % 3 == 0, F.concat(F.lit(" for part "), p.cast("string"))).otherwise(F.lit("")),
     )
-    confidence = F.round(d * 10, 1)
-
-    def finding(conf, *fields):
-        return F.struct(*fields, *([] if conf is None else [conf.alias("confidence")]))
-
-    full = [
+    fields = _reviewed(spark, sf_dir).select(
+        "pr_id", "file_path",
+        ((p + s + n) % 11).alias("form"),
         kind.alias("type"), severity.alias("severity"), content.alias("line_content"),
         message.alias("message"),
         F.when(p % 2 == 0, F.lit("guard(\"value\")")).alias("suggestion"),
-    ]
-    head = F.to_json(finding(confidence, *full))
-    quoted = F.to_json(finding(confidence.cast("string"), *full))
-    bare = F.to_json(F.struct(
-        F.lit("Second look").alias("message"), _pick(CODE_LINES, p % size).alias("line_content"),
-    ))
-    form = (p + s + n) % 11
-    broken_confidence = F.regexp_replace(head, r'"confidence":[0-9.]+', '"confidence":null')
+        F.round(d * 10, 1).alias("confidence"),
+        _pick(CODE_LINES, p % len(CODE_LINES)).alias("second_content"),
+    )
+    form = F.col("form")
+    full = ["type", "severity", "line_content", "message", "suggestion"]
+    entries = fields.select(
+        "pr_id", "file_path", "form",
+        F.to_json(F.struct(*full, "confidence")).alias("head"),
+        F.to_json(F.struct(*full, F.col("confidence").cast("string").alias("confidence"))).alias("quoted"),
+        F.to_json(F.struct(
+            F.lit("Second look").alias("message"), F.col("second_content").alias("line_content"),
+        )).alias("bare"),
+    )
+    # each step is a column of its own, so that none is written out many times in the plan
     items = (
-        F.when(form == 3, quoted)
-        .when(form == 4, broken_confidence)
-        .when(form == 5, F.concat(head, F.lit(',"not an object"')))
-        .otherwise(F.concat(head, F.lit(", "), bare))
+        F.when(form == 3, F.col("quoted"))
+        .when(form == 4, F.regexp_replace("head", r'"confidence":[0-9.]+', '"confidence":null'))
+        .when(form == 5, F.concat(F.col("head"), F.lit(',"not an object"')))
+        .otherwise(F.concat(F.col("head"), F.lit(", "), F.col("bare")))
     )
-    plain = F.concat(F.lit('{"findings": ['), items, F.lit("]}"))
+    plain = F.col("plain")
     text = (
         F.when(form == 1, F.concat(F.lit("```json\n"), plain, F.lit("\n```")))
         .when(form == 2, F.concat(F.lit("Here is what I found: "), plain, F.lit(" Regards.")))
@@ -416,7 +440,9 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(form == 10, F.concat(F.lit("  \n"), plain, F.lit("\n\n")))
         .otherwise(plain)
     )
-    return _reviewed(spark, sf_dir).select(
+    return entries.withColumn(
+        "plain", F.concat(F.lit('{"findings": ['), items, F.lit("]}"))
+    ).select(
         "pr_id", "file_path",
         F.when(form == 9, F.lit("timeout")).otherwise(F.lit("ok")).alias("status"),
         F.when(form != 9, text).alias("response_text"),
@@ -424,10 +450,16 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reviewed_prs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """V5: the PR list of those answers."""
-    return read(spark, sf_dir, "lineitem").select(
+    """V5: the PR list of those answers, and one PR without chunks or without a diff per customer."""
+    empty = read(spark, sf_dir, "customer").select(
+        F.concat(F.lit("cust-"), F.col("c_custkey").cast("string")).alias("pr_id"),
+        F.when(F.col("c_custkey") % 2 == 0, F.lit("error")).otherwise(F.lit("ok")).alias("status"),
+    )
+    reviewed = read(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("pr-"), F.floor(F.col("l_orderkey") / 8).cast("string")).alias("pr_id"),
-    ).distinct()
+        F.lit("ok").alias("status"),
+    )
+    return reviewed.distinct().unionByName(empty)
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
