@@ -50,8 +50,9 @@ def _features(spark, sf):
 
 
 def _enriched(spark, sf):
-    covered = history.with_test_coverage(_features(spark, sf), X.pr_files(spark, sf))
-    return history.with_history_risk(covered, X.commits(spark, sf))
+    return review.enriched_features(
+        X.chunks(spark, sf), X.pr_files(spark, sf), X.commits(spark, sf)
+    )
 
 
 def _scored(spark, sf):
@@ -391,8 +392,12 @@ def e2_feature_vector(spark, sf):
 @query
 def e3_test_coverage(spark, sf):
     files = X.chunks(spark, sf).select("pr_id", "file_path")
-    covered = history.with_test_coverage(files, X.pr_files(spark, sf))
-    return covered.withColumn("stem", stem(F.col("file_path")))
+    covered = history.covered_files(files, X.pr_files(spark, sf))
+    flagged = files.join(covered.withColumn("covered", F.lit(True)), ["pr_id", "file_path"], "left")
+    return flagged.select(
+        "pr_id", "file_path", stem(F.col("file_path")).alias("stem"),
+        F.coalesce("covered", F.lit(False)).alias("has_test_coverage"),
+    )
 
 
 @query
@@ -403,7 +408,10 @@ def e4_history_risk(spark, sf):
 @query
 def e5_history_budget(spark, sf):
     chunks = _merged(spark, sf).select("pr_id", "repo", "file_path", "chunk_ord")
-    return history.with_history_risk(chunks, X.commits(spark, sf)).drop("repo")
+    risks = history.budgeted_history(chunks, X.commits(spark, sf))
+    return chunks.drop("repo").join(risks, ["pr_id", "file_path"], "left").fillna(
+        0.0, ["commit_history_risk"]
+    )
 
 
 # --- scores ------------------------------------------------------------------------------------
@@ -451,8 +459,8 @@ def r5_focus_areas(spark, sf):
 @query
 def r6_file_focus_areas(spark, sf):
     chunks = _merged(spark, sf).withColumn("base_score", (F.col("start_line") % 100) / 100.0)
-    covered = history.with_test_coverage(chunk_features(chunks), X.pr_files(spark, sf))
-    enriched = covered.withColumn("commit_history_risk", F.lit(0.0))
+    no_history = X.commits(spark, sf).filter(F.lit(False))
+    enriched = review.enriched_features(chunks, X.pr_files(spark, sf), no_history)
     scored = scoring.with_focus_areas(scoring.with_adjusted_score(enriched))
     return scoring.file_focus_areas(scored).select(
         "pr_id", "file_path", F.array_join("focus_areas", "; ").alias("focus_areas")

@@ -50,17 +50,11 @@ def tested_stems(pr_files: DataFrame) -> DataFrame:
     return marked.select("pr_id", F.explode(_named_stems(F.col("segment"))).alias("stem")).distinct()
 
 
-def with_test_coverage(chunks: DataFrame, pr_files: DataFrame) -> DataFrame:
-    """Adds ``has_test_coverage``: some path changed in the same PR is a test of the chunk's file."""
-    files = chunks.select("pr_id", "file_path").distinct().withColumn("stem", stem(F.col("file_path")))
-    covered = (
-        files.join(tested_stems(pr_files), ["pr_id", "stem"], "left_semi")
-        .select("pr_id", "file_path", F.lit(True).alias("covered"))
-    )
-    return (
-        chunks.join(covered, ["pr_id", "file_path"], "left")
-        .withColumn("has_test_coverage", F.coalesce("covered", F.lit(False)))
-        .drop("covered")
+def covered_files(files: DataFrame, pr_files: DataFrame) -> DataFrame:
+    """The (pr_id, file_path) rows of ``files`` that a path changed in the same PR is a test of."""
+    stems = files.select("pr_id", "file_path").distinct().withColumn("stem", stem(F.col("file_path")))
+    return stems.join(tested_stems(pr_files), ["pr_id", "stem"], "left_semi").select(
+        "pr_id", "file_path"
     )
 
 
@@ -75,9 +69,12 @@ def commit_history_risk(commits: DataFrame, limit: int = HISTORY_COMMITS) -> Dat
     )
 
 
-def first_files(chunks: DataFrame, limit: int) -> DataFrame:
-    """The first ``limit`` files of each PR, by their first chunk."""
-    firsts = chunks.groupBy("pr_id", "file_path").agg(F.min("chunk_ord").alias("first_ord"))
+def first_files(chunks: DataFrame, limit: int, *also: str) -> DataFrame:
+    """The first ``limit`` files of each PR, by their first chunk; ``also`` are columns fixed per PR.
+
+    Files are counted down to one row each first, and the limit is applied before the shuffle, too.
+    """
+    firsts = chunks.groupBy("pr_id", *also, "file_path").agg(F.min("chunk_ord").alias("first_ord"))
     by_place = Window.partitionBy("pr_id").orderBy("first_ord", "file_path")
     return (
         firsts.withColumn("file_rank", F.row_number().over(by_place))
@@ -85,20 +82,29 @@ def first_files(chunks: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def with_history_risk(
+def budgeted_history(
     chunks: DataFrame, commits: DataFrame, budget: int = HISTORY_FILES
 ) -> DataFrame:
-    """Adds ``commit_history_risk``, read for the first ``budget`` files of a PR and 0 for others."""
-    repos = chunks.select("pr_id", "repo", "file_path").distinct()
-    budgeted = first_files(chunks, budget).join(repos, ["pr_id", "file_path"])
-    risks = (
-        budgeted.join(
-            commit_history_risk(commits).select("repo", "file_path", "commit_history_risk"),
-            ["repo", "file_path"],
-        )
-        .select("pr_id", "repo", "file_path", "commit_history_risk")
-    )
+    """History risk of the first ``budget`` files of each PR, where they have any history."""
+    files = first_files(chunks, budget, "repo").select("pr_id", "repo", "file_path")
+    wanted = commits.join(files.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi")
+    risks = commit_history_risk(wanted).select("repo", "file_path", "commit_history_risk")
+    return files.join(risks, ["repo", "file_path"]).select("pr_id", "file_path", "commit_history_risk")
+
+
+def with_file_context(
+    chunks: DataFrame, pr_files: DataFrame, commits: DataFrame, budget: int = HISTORY_FILES
+) -> DataFrame:
+    """Adds ``has_test_coverage`` and ``commit_history_risk`` (0 outside the budget) to chunk rows.
+
+    Both are worked out per file, so that the wide chunk rows are joined once.
+    """
+    covered = covered_files(chunks, pr_files).withColumn("covered", F.lit(True))
+    risks = budgeted_history(chunks, commits, budget)
+    context = covered.join(risks, ["pr_id", "file_path"], "full")
     return (
-        chunks.join(risks, ["pr_id", "repo", "file_path"], "left")
+        chunks.join(context, ["pr_id", "file_path"], "left")
+        .withColumn("has_test_coverage", F.coalesce("covered", F.lit(False)))
         .withColumn("commit_history_risk", F.coalesce("commit_history_risk", F.lit(0.0)))
+        .drop("covered")
     )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from patchloom.operators import context, diffs, findings, scoring
 from patchloom.operators.features import chunk_features
-from patchloom.operators.history import with_history_risk, with_test_coverage
+from patchloom.operators.history import with_file_context
 from patchloom.session import materialize
 from patchloom.sources import landed
 
@@ -29,11 +29,20 @@ class Triage:
     prompts: DataFrame
 
 
+def enriched_features(chunks: DataFrame, pr_files: DataFrame, commits: DataFrame) -> DataFrame:
+    """Chunks with their own features and those of their file.
+
+    The file columns come from the bare chunks, so the features are computed in one branch only.
+    """
+    keyed = with_file_context(chunks, pr_files, commits)
+    return chunk_features(keyed)
+
+
 def scored_chunks(
     chunks: DataFrame, pr_files: DataFrame, commits: DataFrame, model: PipelineModel | None
 ) -> DataFrame:
     """Chunks with features, context features, score, band and focus areas."""
-    enriched = with_history_risk(with_test_coverage(chunk_features(chunks), pr_files), commits)
+    enriched = enriched_features(chunks, pr_files, commits)
     return scoring.with_focus_areas(
         scoring.with_adjusted_score(scoring.with_base_score(enriched, model))
     )
@@ -48,12 +57,16 @@ def triage(
     model: PipelineModel | None = None,
     store: bool = True,
 ) -> Triage:
-    """From PRs to prompts. The scored chunks feed five outputs, so they are stored once."""
+    """From PRs to prompts.
+
+    Chunks are read by three branches and scored chunks by five, so both are stored once.
+    """
     prs = landed.pr_diffs(pull_requests, diff_table)
     readable = prs.filter(F.col("status") == "ok").select("pr_id", "repo", "diff")
-    scored = scored_chunks(diffs.review_chunks(readable, ["pr_id", "repo"]), pr_files, commits, model)
-    if store:
-        scored = materialize(scored)
+    chunks = diffs.review_chunks(readable, ["pr_id", "repo"])
+    chunks = materialize(chunks) if store else chunks
+    scored = scored_chunks(chunks, pr_files, commits, model)
+    scored = materialize(scored) if store else scored
     high = scoring.high_risk(scored)
     routes = context.file_routes(high)
     files = context.reviewed_files(high, routes)
@@ -100,8 +113,7 @@ def conclude(
 ) -> Conclusion:
     """From answers to comments, summaries and reports."""
     grouped = grouped_findings(routes, files, responses)
-    if store:
-        grouped = materialize(grouped)
+    grouped = materialize(grouped) if store else grouped
     totals = findings.per_pr(
         triage_counts, routes, findings.finding_counts(grouped),
         findings.skipped_files(responses, files),
