@@ -13,7 +13,7 @@ from patchloom.functions.text import stem
 from patchloom.operators import context, diffs, events, findings, history, scoring, training
 from patchloom.operators.features import chunk_features, vector_array, vector_columns
 from patchloom.plans import collect, review
-from patchloom.session import shared_dir
+from patchloom.session import materialize, shared_dir
 from patchloom.sources import fixtures as X
 from patchloom.sources import landed, sinks
 from patchloom.streaming import admission, reviews
@@ -45,6 +45,11 @@ def _merged(spark, sf):
     return diffs.review_chunks(_diffs(spark, sf), ["pr_id", "repo"])
 
 
+def _merged_stored(spark, sf):
+    """Merged chunks stored once, as the review job does for operators that read them several times."""
+    return materialize(_merged(spark, sf))
+
+
 def _features(spark, sf):
     return chunk_features(X.chunks(spark, sf))
 
@@ -88,19 +93,16 @@ def _grouped(spark, sf):
     return findings.group_findings(_located(spark, sf))
 
 
-def _totals(spark, sf):
-    return findings.per_pr(
+def _conclusion(spark, sf):
+    return review.conclude(
+        X.reviewed_prs(spark, sf),
         scoring.triage_counts(X.reviewed_chunks(spark, sf), True),
         _reviewed_routes(spark, sf),
-        findings.finding_counts(_grouped(spark, sf)),
-        findings.skipped_files(X.responses(spark, sf), _reviewed_files(spark, sf)),
+        _reviewed_files(spark, sf),
+        X.responses(spark, sf),
     )
 
 
-def _reports(spark, sf):
-    return findings.run_reports(X.reviewed_prs(spark, sf), _totals(spark, sf))
-
-
 def _flat_reports(reports):
     return reports.select(
         "pr_id", "status", "detail", "chunks_analyzed", "files_checked", "findings",
@@ -234,7 +236,7 @@ def k3_saved_model(spark, sf):
 @query
 def k4_run_reports(spark, sf):
     path = _new_dir(spark, "reports")
-    sinks.write_reports(_reports(spark, sf), path)
+    sinks.write_reports(_conclusion(spark, sf).reports, path)
     return _flat_reports(spark.read.parquet(path))
 
 
@@ -458,7 +460,7 @@ def r5_focus_areas(spark, sf):
 
 @query
 def r6_file_focus_areas(spark, sf):
-    chunks = _merged(spark, sf).withColumn("base_score", (F.col("start_line") % 100) / 100.0)
+    chunks = _merged_stored(spark, sf).withColumn("base_score", (F.col("start_line") % 100) / 100.0)
     no_history = X.commits(spark, sf).filter(F.lit(False))
     enriched = review.enriched_features(chunks, X.pr_files(spark, sf), no_history)
     scored = scoring.with_focus_areas(scoring.with_adjusted_score(enriched))
@@ -535,7 +537,7 @@ def c5_pr_context(spark, sf):
 
 @query
 def c6_prompts(spark, sf):
-    merged = _merged(spark, sf)
+    merged = _merged_stored(spark, sf)
     focus = (
         merged.filter(F.col("start_line") % 2 == 1).select("pr_id", "file_path").distinct()
         .withColumn("focus_areas", F.array(F.lit("first area"), F.lit("second area")))
@@ -587,12 +589,12 @@ def i7_finding_counts(spark, sf):
 
 @query
 def i8_summaries(spark, sf):
-    return findings.summaries(_totals(spark, sf))
+    return _conclusion(spark, sf).summaries
 
 
 @query
 def i9_run_reports(spark, sf):
-    return _flat_reports(_reports(spark, sf))
+    return _flat_reports(_conclusion(spark, sf).reports)
 
 
 @query

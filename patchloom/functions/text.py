@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from patchloom.functions.regex import SPACE
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -15,9 +14,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
 def strip(text: Column) -> Column:
-    """Without leading and trailing blanks of any kind."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
+    """Without leading and trailing blanks of any kind; looks at the two ends only."""
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def folded(text: Column) -> Column:

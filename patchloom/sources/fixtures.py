@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.functions.text import lines_of, stem
+from patchloom.functions.text import let, lines_of, stem
 
 #: code lines, each firing a signal or just missing it
 CODE_LINES = [
@@ -160,14 +160,14 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("bigint"), F.floor((F.size("lines") - 1) / F.col("per_hunk")).cast("bigint")
     )
 
-    def hunk_text(h: Column) -> Column:
+    def hunk_text(marked: Column, h: Column) -> Column:
         start = 1 + h * F.col("per_hunk") + F.floor((h + 1) / 2) * 2 + F.floor(h / 2) * 15
         header = F.concat(
             F.lit("@@ -"), start.cast("string"), F.lit(",7 +"), start.cast("string"),
             F.when(h % 3 != 0, F.lit(",7")).otherwise(F.lit("")), F.lit(" @@ part"),
         )
         body = F.slice(
-            F.col("marked"),
+            marked,
             (h * F.col("per_hunk") + 1).cast("int"), F.col("per_hunk").cast("int"),
         )
         detached = (doc % 10 == 7) & (h == F.floor((F.size("lines") - 1) / F.col("per_hunk")))
@@ -178,14 +178,13 @@ def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat_ws("\n", body),
         )
 
+    # bound by let, or the marks would be put on again for each hunk
     patch = F.concat(
-        F.concat_ws("\n", F.transform("hunks", hunk_text)),
+        F.concat_ws("\n", let(marked, lambda m: F.transform(numbers, lambda h: hunk_text(m, h)))),
         F.when(doc % 3 == 0, F.lit("\n\\ No newline at end of file")).otherwise(F.lit("")),
     )
     return (
-        lines.withColumn("marked", marked)
-        .withColumn("hunks", numbers)
-        .select(
+        lines.select(
             "doc_id", "pr_id", "repo", "file_path",
             patch.alias("patch"),
             F.concat_ws(
@@ -295,7 +294,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.lit(None).cast("string")
     for kind, texts in COMMIT_MESSAGES.items():
         message = F.when(F.col("event_type") == kind, _pick(texts, event % 3)).otherwise(message)
-    return read(spark, sf_dir, "events").select(
+    return read_spread(spark, sf_dir, "events").select(
         F.concat(F.lit("org/"), source).alias("repo"),
         path_of_doc(source, doc).alias("file_path"),
         F.col("ts").alias("committed_at"),
@@ -321,7 +320,7 @@ def commit_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("@@ -0,0 +1,"), count.cast("string"), F.lit(" @@")),
         F.concat_ws("\n", line),
     )
-    return read(spark, sf_dir, "events").select(
+    return read_spread(spark, sf_dir, "events").select(
         event.cast("string").alias("sha"),
         F.when(event % 23 == 0, F.lit(None)).when(event % 23 == 1, F.lit("")).otherwise(diff).alias("diff"),
     )
