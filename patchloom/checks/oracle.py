@@ -603,7 +603,7 @@ def oracle(name: str, needs: list[str], body: str) -> None:
     ORACLES[name] = sql(needs, body)
 
 
-oracle("s1_pr_diffs", ["prs", "ordered_lines"], """
+oracle("s1_pr_status", ["prs", "ordered_lines"], """
   SELECT p.pr_id, CASE WHEN n IS NULL THEN 'error' ELSE 'ok' END AS status, n::INT AS diff_lines
   FROM prs p LEFT JOIN (SELECT pr_id, count(*) AS n FROM ordered_lines GROUP BY pr_id) USING (pr_id)""")
 oracle("s2_changed_files", ["prs", "files"], """

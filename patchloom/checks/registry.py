@@ -12,7 +12,7 @@ from patchloom.functions import constants as C
 from patchloom.functions.text import stem
 from patchloom.operators import context, diffs, events, findings, history, scoring, training
 from patchloom.operators.features import chunk_features, vector_array, vector_columns
-from patchloom.plans import collect, review
+from patchloom.plans import collect, review, snippets
 from patchloom.session import materialize, shared_dir
 from patchloom.sources import fixtures as X
 from patchloom.sources import landed, sinks
@@ -38,11 +38,11 @@ def _new_dir(spark: SparkSession, name: str) -> str:
 
 
 def _diffs(spark, sf):
-    return X.diffs(spark, sf).filter(F.length("diff") > 0)
+    return landed.with_diffs(X.diffs(spark, sf))
 
 
 def _merged(spark, sf):
-    return diffs.review_chunks(_diffs(spark, sf), ["pr_id", "repo"])
+    return diffs.review_chunks(_diffs(spark, sf), ["pr_id"])
 
 
 def _merged_stored(spark, sf):
@@ -56,7 +56,8 @@ def _features(spark, sf):
 
 def _enriched(spark, sf):
     return review.enriched_features(
-        X.chunks(spark, sf), X.pr_files(spark, sf), X.commits(spark, sf)
+        X.chunks(spark, sf).drop("repo"), X.pull_requests(spark, sf), X.pr_files(spark, sf),
+        X.commits(spark, sf),
     )
 
 
@@ -134,10 +135,9 @@ def _training_rows(spark, sf):
 
 
 @query
-def s1_pr_diffs(spark, sf):
-    prs = landed.pr_diffs(X.pull_requests(spark, sf), X.diffs(spark, sf))
-    lines = F.when(F.col("status") == "ok", F.size(F.split("diff", "\n")))
-    return prs.select("pr_id", "status", lines.alias("diff_lines"))
+def s1_pr_status(spark, sf):
+    prs = landed.pr_status(X.pull_requests(spark, sf), X.diffs(spark, sf))
+    return prs.select("pr_id", "status", "diff_lines")
 
 
 @query
@@ -409,9 +409,9 @@ def e4_history_risk(spark, sf):
 
 @query
 def e5_history_budget(spark, sf):
-    chunks = _merged(spark, sf).select("pr_id", "repo", "file_path", "chunk_ord")
-    risks = history.budgeted_history(chunks, X.commits(spark, sf))
-    return chunks.drop("repo").join(risks, ["pr_id", "file_path"], "left").fillna(
+    chunks = _merged(spark, sf).select("pr_id", "file_path", "chunk_ord")
+    risks = history.budgeted_history(chunks, X.pull_requests(spark, sf), X.commits(spark, sf))
+    return chunks.join(risks, ["pr_id", "file_path"], "left").fillna(
         0.0, ["commit_history_risk"]
     )
 
@@ -462,7 +462,9 @@ def r5_focus_areas(spark, sf):
 def r6_file_focus_areas(spark, sf):
     chunks = _merged_stored(spark, sf).withColumn("base_score", (F.col("start_line") % 100) / 100.0)
     no_history = X.commits(spark, sf).filter(F.lit(False))
-    enriched = review.enriched_features(chunks, X.pr_files(spark, sf), no_history)
+    enriched = review.enriched_features(
+        chunks, X.pull_requests(spark, sf), X.pr_files(spark, sf), no_history
+    )
     scored = scoring.with_focus_areas(scoring.with_adjusted_score(enriched))
     return scoring.file_focus_areas(scored).select(
         "pr_id", "file_path", F.array_join("focus_areas", "; ").alias("focus_areas")
@@ -476,8 +478,7 @@ def r7_triage_counts(spark, sf):
 
 @query
 def r8_snippet_risk(spark, sf):
-    chunks = landed.accepted(landed.snippet_chunks(X.snippets(spark, sf)))
-    risk = scoring.snippet_risk(chunk_features(chunks), None)
+    risk = snippets.snippet_scores(X.snippets(spark, sf))
     return risk.withColumn("risk_factors", F.array_join("risk_factors", "; "))
 
 
@@ -486,7 +487,8 @@ def risk_band_counts(spark, sf):
     """Chunks per PR repository and risk band with the fallback score: the flagship query."""
     enriched = _enriched(spark, sf).drop("base_score")
     scored = scoring.with_adjusted_score(scoring.with_base_score(enriched, None))
-    return scored.groupBy("repo", "risk_label").agg(
+    repos = X.pull_requests(spark, sf).select("pr_id", "repo")
+    return scored.join(repos, "pr_id").groupBy("repo", "risk_label").agg(
         F.count("*").alias("chunks"),
         F.sum("num_added_lines").alias("added_lines"),
         F.sum("cyclomatic_estimate").alias("cyclomatic"),

@@ -69,12 +69,12 @@ def commit_history_risk(commits: DataFrame, limit: int = HISTORY_COMMITS) -> Dat
     )
 
 
-def first_files(chunks: DataFrame, limit: int, *also: str) -> DataFrame:
-    """The first ``limit`` files of each PR, by their first chunk; ``also`` are columns fixed per PR.
+def first_files(chunks: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` files of each PR, by their first chunk.
 
     Files are counted down to one row each first, and the limit is applied before the shuffle, too.
     """
-    firsts = chunks.groupBy("pr_id", *also, "file_path").agg(F.min("chunk_ord").alias("first_ord"))
+    firsts = chunks.groupBy("pr_id", "file_path").agg(F.min("chunk_ord").alias("first_ord"))
     by_place = Window.partitionBy("pr_id").orderBy("first_ord", "file_path")
     return (
         firsts.withColumn("file_rank", F.row_number().over(by_place))
@@ -83,24 +83,28 @@ def first_files(chunks: DataFrame, limit: int, *also: str) -> DataFrame:
 
 
 def budgeted_history(
-    chunks: DataFrame, commits: DataFrame, budget: int = HISTORY_FILES
+    chunks: DataFrame, prs: DataFrame, commits: DataFrame, budget: int = HISTORY_FILES
 ) -> DataFrame:
     """History risk of the first ``budget`` files of each PR, where they have any history."""
-    files = first_files(chunks, budget, "repo").select("pr_id", "repo", "file_path")
+    files = first_files(chunks, budget).join(prs.select("pr_id", "repo"), "pr_id")
     wanted = commits.join(files.select("repo", "file_path").distinct(), ["repo", "file_path"], "left_semi")
     risks = commit_history_risk(wanted).select("repo", "file_path", "commit_history_risk")
     return files.join(risks, ["repo", "file_path"]).select("pr_id", "file_path", "commit_history_risk")
 
 
 def with_file_context(
-    chunks: DataFrame, pr_files: DataFrame, commits: DataFrame, budget: int = HISTORY_FILES
+    chunks: DataFrame,
+    prs: DataFrame,
+    pr_files: DataFrame,
+    commits: DataFrame,
+    budget: int = HISTORY_FILES,
 ) -> DataFrame:
     """Adds ``has_test_coverage`` and ``commit_history_risk`` (0 outside the budget) to chunk rows.
 
     Both are worked out per file, so that the wide chunk rows are joined once.
     """
     covered = covered_files(chunks, pr_files).withColumn("covered", F.lit(True))
-    risks = budgeted_history(chunks, commits, budget)
+    risks = budgeted_history(chunks, prs, commits, budget)
     context = covered.join(risks, ["pr_id", "file_path"], "full")
     return (
         chunks.join(context, ["pr_id", "file_path"], "left")

@@ -29,20 +29,25 @@ class Triage:
     prompts: DataFrame
 
 
-def enriched_features(chunks: DataFrame, pr_files: DataFrame, commits: DataFrame) -> DataFrame:
+def enriched_features(
+    chunks: DataFrame, prs: DataFrame, pr_files: DataFrame, commits: DataFrame
+) -> DataFrame:
     """Chunks with their own features and those of their file.
 
     The file columns come from the bare chunks, so the features are computed in one branch only.
     """
-    keyed = with_file_context(chunks, pr_files, commits)
-    return chunk_features(keyed)
+    return chunk_features(with_file_context(chunks, prs, pr_files, commits))
 
 
 def scored_chunks(
-    chunks: DataFrame, pr_files: DataFrame, commits: DataFrame, model: PipelineModel | None
+    chunks: DataFrame,
+    prs: DataFrame,
+    pr_files: DataFrame,
+    commits: DataFrame,
+    model: PipelineModel | None,
 ) -> DataFrame:
     """Chunks with features, context features, score, band and focus areas."""
-    enriched = enriched_features(chunks, pr_files, commits)
+    enriched = enriched_features(chunks, prs, pr_files, commits)
     return scoring.with_focus_areas(
         scoring.with_adjusted_score(scoring.with_base_score(enriched, model))
     )
@@ -57,15 +62,15 @@ def triage(
     model: PipelineModel | None = None,
     store: bool = True,
 ) -> Triage:
-    """From PRs to prompts.
+    """From PRs to prompts. ``diff_table`` holds the diffs of the listed PRs and no others.
 
-    Chunks are read by three branches and scored chunks by five, so both are stored once.
+    Diffs become chunks with no join and no shuffle. Chunks are read by three branches and scored
+    chunks by five, so both are stored once.
     """
-    prs = landed.pr_diffs(pull_requests, diff_table)
-    readable = prs.filter(F.col("status") == "ok").select("pr_id", "repo", "diff")
-    chunks = diffs.review_chunks(readable, ["pr_id", "repo"])
+    prs = landed.pr_status(pull_requests, diff_table)
+    chunks = diffs.review_chunks(landed.with_diffs(diff_table), ["pr_id"])
     chunks = materialize(chunks) if store else chunks
-    scored = scored_chunks(chunks, pr_files, commits, model)
+    scored = scored_chunks(chunks, pull_requests, pr_files, commits, model)
     scored = materialize(scored) if store else scored
     high = scoring.high_risk(scored)
     routes = context.file_routes(high)

@@ -24,11 +24,20 @@ def read_diff_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def pr_diffs(pull_requests: DataFrame, diffs: DataFrame) -> DataFrame:
-    """Every PR with its diff; a PR whose diff is missing or empty has status ``error``."""
-    joined = pull_requests.join(diffs.select("pr_id", "diff"), "pr_id", "left")
-    present = F.coalesce(F.length("diff") > 0, F.lit(False))
-    return joined.withColumn("status", F.when(present, F.lit("ok")).otherwise(F.lit("error")))
+def with_diffs(diffs: DataFrame) -> DataFrame:
+    return diffs.filter(F.length("diff") > 0)
+
+
+def pr_status(pull_requests: DataFrame, diffs: DataFrame) -> DataFrame:
+    """Every PR with the lines of its diff; one whose diff is missing or empty has status ``error``.
+
+    Only the count goes through the join: the diffs themselves are parsed where they lie.
+    """
+    counts = with_diffs(diffs).select("pr_id", F.size(lines_of(F.col("diff"))).alias("diff_lines"))
+    joined = pull_requests.join(counts, "pr_id", "left")
+    return joined.withColumn(
+        "status", F.when(F.col("diff_lines").isNotNull(), F.lit("ok")).otherwise(F.lit("error"))
+    )
 
 
 def pr_metadata(pull_requests: DataFrame) -> DataFrame:

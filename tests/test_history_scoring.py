@@ -47,9 +47,10 @@ def test_history_risk(spark):
 
 
 def test_history_budget(spark):
-    chunks = spark.createDataFrame([("p", "r", f"f{i}.py", i) for i in range(7)], "pr_id string, repo string, file_path string, chunk_ord bigint")
+    chunks = spark.createDataFrame([("p", f"f{i}.py", i) for i in range(7)], "pr_id string, file_path string, chunk_ord bigint")
+    prs = spark.createDataFrame([("p", "r")], "pr_id string, repo string")
     log = commits(spark, ["fix"], "f1.py").union(commits(spark, ["fix"], "f6.py"))
-    got = history.budgeted_history(chunks, log).collect()
+    got = history.budgeted_history(chunks, prs, log).collect()
     assert [(r.file_path, r.commit_history_risk) for r in got] == [("f1.py", 1.0)]
 
 

@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from patchloom.plans import review
+from patchloom.plans import review, snippets
 from patchloom.sources import sinks
 from patchloom.streaming import reviews
 
@@ -70,7 +70,9 @@ def test_stream_runs_the_job_per_batch(spark, tmp_path):
         keys = accepted.select("pr_number", "head_sha", "delivery_id")
         prs = tables["pull_requests"].drop("head_sha")
         wanted = keys.join(prs, "pr_number")
-        job = review.triage(**{**tables, "pull_requests": wanted.drop("delivery_id").distinct()}, store=False)
+        listed = wanted.drop("delivery_id").distinct()
+        read = tables["diff_table"].join(listed, "pr_id", "left_semi")
+        job = review.triage(**{**tables, "pull_requests": listed, "diff_table": read}, store=False)
         return wanted.select("delivery_id", "pr_id").join(job.triage_counts, "pr_id")
 
     reviews.review_stream(
@@ -81,6 +83,23 @@ def test_stream_runs_the_job_per_batch(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/rejected")).first().delivery_id == 2
 
 
+def test_snippets(spark):
+    code = "def go(x):\n    return eval(x)\n    done()"
+    rows = [("s1", "a.py", code), ("s2", None, "x\ny"), ("s3", "b.py", "y" * 10001), ("s4", "c.py", "z\n" * 600)]
+    table = spark.createDataFrame(rows, "snippet_id string, filename string, code string")
+    prompts = snippets.snippet_prompts(table).collect()
+    assert [(p.snippet_id, p.file_path) for p in prompts] == [("s1", "a.py")]
+    assert "eval(x)" in prompts[0].prompt and "# Pull request" not in prompts[0].prompt
+    text = json.dumps({"findings": [{"type": "security", "severity": "high", "line_content": "eval(x)", "message": "m"}]})
+    answers = spark.createDataFrame([("s1", "a.py", "ok", text)], "snippet_id string, file_path string, status string, response_text string")
+    found = {r.snippet_id: r for r in snippets.snippet_review(table, answers).collect()}
+    assert (found["s1"].line, found["s1"].type, found["s1"].total_findings) == (2, "security", 1)
+    assert found["s4"].message.startswith("This file has 601") and set(found) == {"s1", "s4"}
+    risk = {r.snippet_id: r for r in snippets.snippet_scores(table).collect()}
+    assert set(risk) == {"s1", "s2", "s4"} and risk["s2"].file_path == "snippet.py"
+    assert risk["s1"].risk_score == 0.7 and risk["s1"].would_trigger_review and len(risk["s1"].risk_factors) == 2
+
+
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
