@@ -798,12 +798,12 @@ oracle("m10_evaluation", ["labelled"], """
   SELECT fold, tp, fp, tn, fn, round(loss, 6) AS loss, round(a, 6) AS accuracy, round(pr, 6) AS precision,
     round(re, 6) AS recall, round(2 * pr * re / greatest(pr + re, 1e-8), 6) AS f1 FROM r""")
 
-oracle("t1_event_reviews", ["classified", "v1"], """
-  , per_pr AS (SELECT pr_id, count(*) AS total_chunks, count(*) FILTER (base_score >= 0.6) AS high_risk,
-    count(*) FILTER (base_score < 0.6) AS low_risk_skipped FROM v1 GROUP BY pr_id)
-  SELECT delivery_id, repo_name || '-' || (pr_number // 400) AS pr_id, head_sha, total_chunks, high_risk,
-    low_risk_skipped, CASE WHEN total_chunks IS NOT NULL THEN false END AS classifier_loaded
-  FROM classified c LEFT JOIN per_pr p ON p.pr_id = repo_name || '-' || (pr_number // 400)
+oracle("t1_event_reviews", ["classified", "merged"], """
+  , per_pr AS (SELECT pr_id, count(*) AS total_chunks FROM merged GROUP BY pr_id)
+  SELECT delivery_id, repo_name || '-' || (pr_number % 25) AS pr_id, head_sha, total_chunks,
+    total_chunks AS high_risk, total_chunks * 0 AS low_risk_skipped,
+    CASE WHEN total_chunks IS NOT NULL THEN false END AS classifier_loaded
+  FROM classified c LEFT JOIN per_pr p ON p.pr_id = repo_name || '-' || (pr_number % 25)
   WHERE status = 'accepted'""")
 ADMITTED = "SELECT user_id::VARCHAR AS client, event_id AS request_id, admitted FROM walk"
 oracle("t2_admissions", ["walk"], ADMITTED)

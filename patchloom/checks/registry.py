@@ -696,20 +696,22 @@ def m10_evaluation(spark, sf):
 
 @query
 def t1_event_reviews(spark, sf):
-    """Events land as JSON files; each accepted one is answered with its PR's triage counts."""
+    """Events land as JSON files; each accepted one is answered with the triage of its PR."""
     landing, out = _new_dir(spark, "events"), _new_dir(spark, "reviews")
     X.pr_events(spark, sf).write.json(landing)
-    chunks = X.chunks(spark, sf)
 
     def run(accepted):
-        wanted = accepted.withColumn("repo", F.concat_ws("/", "owner", "repo_name")).withColumn(
-            "pr_id", F.concat_ws("-", "repo_name", F.floor(F.col("pr_number") / 400).cast("string"))
-        )
+        number = (F.col("pr_number") % 25).cast("string")
+        wanted = accepted.select("delivery_id", "head_sha", F.concat_ws("-", "repo_name", number).alias("pr_id"))
         prs = wanted.select("pr_id").distinct()
-        counts = scoring.triage_counts(
-            chunks.join(prs, "pr_id", "left_semi").withColumn("score", F.col("base_score")), False
+        job = review.triage(
+            X.pull_requests(spark, sf).join(prs, "pr_id", "left_semi"),
+            X.diffs(spark, sf).join(prs, "pr_id", "left_semi"),
+            X.pr_files(spark, sf),
+            X.commits(spark, sf),
+            X.file_contents(spark, sf),
         )
-        return wanted.select("delivery_id", "pr_id", "head_sha").join(counts, "pr_id", "left")
+        return wanted.join(job.triage_counts, "pr_id", "left")
 
     reviews.review_stream(
         reviews.read_events(spark, landing, 3), run, out, _new_dir(spark, "progress")

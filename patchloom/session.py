@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -25,14 +26,15 @@ def build_session(master: str, name: str = "patchloom", **extra: str) -> SparkSe
     return builder.getOrCreate()
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"patchloom-{application}-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; only a session that names none gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    own = tempfile.mkdtemp(prefix="patchloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return named or _own_dir(spark.sparkContext.applicationId)
 
 
 def materialize(df: DataFrame) -> DataFrame:
