@@ -62,6 +62,19 @@ _FUNCTIONS = folded_pattern(
         r"|(?:(?<!\w)|(?<=function))\w++\s*+=\s*+(async\s++)?function",
     )
 )
+_IMPORTS = pattern(IMPORT_PATTERN.replace(r"^\s*", f"^[{INLINE_SPACE}]*+"))
+# One line may be very long and hold very many openings of a match. The first opening of a line has
+# the longest rest, so it decides for the line, and an atomic group keeps the search from trying the
+# others. A verb at the end of a line goes on in the next line that is not blank.
+_VERB, _TARGET = FLAG_PATTERNS["has_sql_statement"].split(r"\s+.*")
+_QUOTE, _QUOTED_VERB = FLAG_PATTERNS["has_sql_fstring"].split(".*?")
+_LINEAR_FLAGS = {
+    "has_sql_statement": (
+        rf"(?m)^(?>.*?{_VERB}[{INLINE_SPACE}]).*{_TARGET}"
+        rf"|{_VERB}[{INLINE_SPACE}]*+\n\s*+.*{_TARGET}"
+    ),
+    "has_sql_fstring": rf"(?m)^(?>.*?{_QUOTE}).*?{_QUOTED_VERB}",
+}
 _DECLARED_FUNCTIONS = folded_pattern("(?=[dfpc])" + FUNCTION_PATTERN.replace(_ASSIGNED_FUNCTION, ""))
 
 
@@ -76,7 +89,7 @@ def _extract(text: Column, regex: str, needles: list[str]) -> Column:
 
 
 def _flag(folded_code: Column, name: str) -> Column:
-    regex = folded_pattern(FLAG_PATTERNS[name])
+    regex = folded_pattern(_LINEAR_FLAGS.get(name, FLAG_PATTERNS[name]))
     return contains_any(folded_code, _NEEDLES[name]) & folded_code.rlike(regex)
 
 
@@ -141,7 +154,7 @@ def _semantic_columns(code: Column) -> dict[str, Column]:
     known = F.concat(*defined, F.array(*[F.lit(name) for name in BUILTIN_CALLS]))
     return {
         "cross_function_calls": F.size(F.array_except(called, known)),
-        "import_complexity": _count(code, pattern(IMPORT_PATTERN), ["import"]),
+        "import_complexity": _count(code, _IMPORTS, ["import"]),
         "error_words": _count(code, pattern(ERROR_WORD_PATTERN), _ERROR_NEEDLES),
     }
 

@@ -40,14 +40,14 @@ def _named_stems(segment: Column) -> Column:
 
 
 def tested_stems(pr_files: DataFrame) -> DataFrame:
-    """Distinct (pr_id, stem) pairs that some changed path of the PR names as tested.
+    """(pr_id, stem) pairs that some changed path of the PR names as tested; a pair may come twice.
 
     Turning "some path contains test_<stem>" into stems makes the check an equality join, so no file
     is paired with all the other paths of its PR.
     """
     segments = pr_files.select("pr_id", F.explode(F.split("filename", "/")).alias("segment"))
-    marked = segments.filter(F.col("segment").rlike("test_|spec_|_test")).distinct()
-    return marked.select("pr_id", F.explode(_named_stems(F.col("segment"))).alias("stem")).distinct()
+    marked = segments.filter(F.col("segment").rlike("test_|spec_|_test"))
+    return marked.select("pr_id", F.explode(_named_stems(F.col("segment"))).alias("stem"))
 
 
 def covered_files(files: DataFrame, pr_files: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Diffs are made from known chunks, so the expected result needs no second parser."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,3 +129,24 @@ def test_new_side_numbers(spark):
         (4, " kee", False), (5, "+new", True), (6, "+new", True), (7, " tai", False),
         (42, " ctx", False), (43, "+++d", False), (44, "+las", True), (45, "\\ No", False),
     ]
+
+
+def test_one_diff_with_most_of_the_lines(spark):
+    """Many sections, many hunks, and one very long hunk in one row: every line is there, in time."""
+    parts, want = [], []
+    for i in range(400):
+        parts.append(f"diff --git a/f{i}.py b/f{i}.py")
+        for h in range(10):
+            start = 1 + h * 30
+            parts += [f"@@ -1 +{start},2 @@", f"+l{h}", " c", f"+m{h}"]
+            want.append((f"f{i}.py", start, start + 2, 2))
+    parts += ["diff --git a/long.go b/long.go", "@@ -0,0 +1,150000 @@", *["+x"] * 150_000]
+    want.append(("long.go", 1, 150_000, 150_000))
+    rows = [("big", "\n".join(parts))] + [(f"s{i}", TWO_HUNKS) for i in range(20)]
+    df = spark.createDataFrame(rows, "pr_id string, diff string")
+    begin = time.time()
+    got = D.review_chunks(df, ["pr_id"]).filter("pr_id = 'big'").select(
+        "chunk_ord", "file_path", "start_line", "end_line", F.size("added_lines").alias("n")
+    ).orderBy("chunk_ord").collect()
+    assert [(r.file_path, r.start_line, r.end_line, r.n) for r in got] == want
+    assert time.time() - begin < 60
