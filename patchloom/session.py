@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 
@@ -32,9 +33,14 @@ def _own_dir(application: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only a session that names none gets a temporary one."""
+    """The cluster's shared folder. A session that names none gets a temporary one, if it runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named or _own_dir(spark.sparkContext.applicationId)
+    if named:
+        return named
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return _own_dir(context.applicationId)
 
 
 def materialize(df: DataFrame) -> DataFrame:
