@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import packing, secret_scan, simhash, weak_rules
+from patchloom.llm import ann, packing, rans, secret_scan, simhash, weak_rules
 from patchloom.llm.tables import table
+from patchloom.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -49,3 +51,22 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "votes", "quality",
     )
+
+
+@query
+def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token files of all documents, written and read back."""
+    folder = f"{shared_dir(spark)}/rans-{uuid.uuid4().hex}"
+    manifest = rans.write_files(
+        table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json")
+    )
+    return rans.read_files(manifest, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32")
+    )
+
+
+@query
+def op10_balanced_lists_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)

@@ -8,6 +8,7 @@ gives for the whole text.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 import re
 
@@ -17,8 +18,9 @@ import numpy as np
 BLANK_LEADS = "leads"  # it belongs to the word after it (byte-level pre-tokenizers)
 BLANK_DROPS = "drops"  # it belongs to no token
 
-#: Words and characters that a worker keeps before it starts anew.
-CACHE_WORDS, CACHE_CHARS = 1_000_000, 24_000_000
+#: Words that a worker keeps, and their length. Longer ones and later ones are encoded in each batch anew; when these
+#: are more than half of a batch, the text has changed and the worker starts over.
+CACHE_WORDS, CACHE_WORD_CHARS = 350_000, 512
 
 #: A single blank between two characters that no tokenizer takes for white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -50,6 +52,9 @@ class _Grown:
     def __init__(self, dtype) -> None:
         self.data, self.size = np.empty(1024, dtype), 0
 
+    def shorten(self, size: int) -> None:
+        self.size = min(self.size, size)
+
     def extend(self, values: np.ndarray) -> None:
         end = self.size + len(values)
         if end > len(self.data):
@@ -73,8 +78,9 @@ class CachedEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        self.index, self.chars = _Index(), 0
+        self.index = _Index()
         self.ids, self.starts, self.lengths = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int64)
+        self.long = False
         self.ragged = _Grown(bool)  # words with white space at an end: a text with one is cut with care
 
     def _places(self, texts: list[str | None], careful: bool = False) -> tuple[list[int], list[int]]:
@@ -100,6 +106,7 @@ class CachedEncoder:
         texts = [
             "" if key is None else key[0] if type(key) is tuple else lead + key for key in new
         ]
+        self.long |= max(map(len, texts)) > CACHE_WORD_CHARS
         found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if None in new:
             found[new.index(None)] = [self.end_id]
@@ -107,14 +114,29 @@ class CachedEncoder:
         self.starts.extend(self.ids.size + np.cumsum(lengths) - lengths)
         self.lengths.extend(lengths)
         self.ids.extend(np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())))
-        self.chars += sum(map(len, texts))
         if careful or self.blank == BLANK_DROPS:
             self.ragged.extend(np.zeros(len(new), bool))
         else:
             self.ragged.extend(np.fromiter(map(_is_ragged, new), bool, len(new)))
 
+    def _forget(self, known: int, words: int) -> None:
+        """Keep at most CACHE_WORDS words; `known` of them were there before this batch of so many words."""
+        late = len(self.index) - max(known, CACHE_WORDS)
+        if late > 0 and 2 * late > words:
+            self._reset()
+        elif late > 0 or self.long:
+            keep = known if self.long else CACHE_WORDS
+            for key in list(itertools.islice(reversed(self.index), len(self.index) - keep)):
+                del self.index[key]
+            if keep:
+                self.ids.shorten(int(self.starts.data[keep - 1] + self.lengths.data[keep - 1]))
+            for kept in (self.starts, self.lengths, self.ragged):
+                kept.shorten(keep)
+            self.long = False
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has. A null text counts as empty."""
+        known = len(self.index)
         places, counts = self._places(texts)
         at = np.array(places, np.int64)
         ragged = self.ragged.data[at]
@@ -131,8 +153,7 @@ class CachedEncoder:
         gather = np.arange(total) + np.repeat(self.starts.data[at] - ends + lengths, lengths)
         flat = self.ids.data[gather]
         upto = np.concatenate([[0], ends])[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
-        if len(self.index) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self._reset()
+        self._forget(known, len(at))
         return flat, np.diff(upto, prepend=0)
 
 
