@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import ann, packing, rans, secret_scan, simhash, weak_rules
+from patchloom.llm import ann, mixing, packing, rans, secret_scan, simhash, weak_rules
 from patchloom.llm.tables import table
 from patchloom.session import shared_dir
 
@@ -70,3 +70,17 @@ def op10_balanced_lists_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest found of every twentieth vector."""
     vectors = table(spark, sf_dir, "embeddings")
     return ann.search(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
+
+
+#: Target weights of the sources; all others have weight 1.
+MIX_WEIGHTS = {"src0": 5, "src1": 3, "src2": 2}
+
+
+@query
+def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the mix of all sources."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "block", "position", "start")
+
+
+ORACLES["op6_pfair_mix"] = mixing.oracle(MIX_WEIGHTS)
