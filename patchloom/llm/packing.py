@@ -44,7 +44,7 @@ def tokenized_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, blank, end_id).encode
-        for batch in slices(batches):
+        for batch in slices(batches, 64):
             flat, lengths = encode(batch.column(1).to_pylist())
             pieces = -(-lengths // capacity)
             doc = np.repeat(np.arange(len(lengths)), pieces)
@@ -157,7 +157,8 @@ def place(items: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
 
     valid = F.col(length).between(1, capacity)
     sized = items.withColumn("_bf_size", F.when(valid, F.col(length)).otherwise(0).cast("int"))
-    ranked = materialize(sized.mapInArrow(number, taken))
+    # stored before they are numbered, so that no task runs the workers of two Python steps at once
+    ranked = materialize(materialize(sized).mapInArrow(number, taken))
     counts = ranked.groupBy("_bf_task", "_bf_size").agg(F.count("*").alias("_bf_n"))
     before = Window.partitionBy("_bf_size").orderBy("_bf_task").rowsBetween(
         Window.unboundedPreceding, -1

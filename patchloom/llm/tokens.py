@@ -21,6 +21,8 @@ BLANK_DROPS = "drops"  # it belongs to no token
 #: Words that a worker keeps, and their length. Longer ones and later ones are encoded in each batch anew; when these
 #: are more than half of a batch, the text has changed and the worker starts over.
 CACHE_WORDS, CACHE_WORD_CHARS = 350_000, 512
+#: Words encoded in one call.
+LEARN_AT_ONCE = 4096
 
 #: A single blank between two characters that no tokenizer takes for white space.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -107,13 +109,15 @@ class CachedEncoder:
             "" if key is None else key[0] if type(key) is tuple else lead + key for key in new
         ]
         self.long |= max(map(len, texts)) > CACHE_WORD_CHARS
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        if None in new:
-            found[new.index(None)] = [self.end_id]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts.extend(self.ids.size + np.cumsum(lengths) - lengths)
-        self.lengths.extend(lengths)
-        self.ids.extend(np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())))
+        for at in range(0, len(texts), LEARN_AT_ONCE):  # an encoding is a large object
+            encoded = self.tokenizer.encode_batch_fast(texts[at : at + LEARN_AT_ONCE], add_special_tokens=False)
+            found = [e.ids for e in encoded]
+            if None in new[at : at + LEARN_AT_ONCE]:
+                found[new.index(None) - at] = [self.end_id]
+            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            self.starts.extend(self.ids.size + np.cumsum(lengths) - lengths)
+            self.lengths.extend(lengths)
+            self.ids.extend(np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())))
         if careful or self.blank == BLANK_DROPS:
             self.ragged.extend(np.zeros(len(new), bool))
         else:
