@@ -44,8 +44,8 @@ def tokenized_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, blank, end_id).encode
-        for batch in slices(batches, 64):
-            flat, lengths = encode(batch.column(1).to_pylist())
+        for batch in slices(batches):
+            flat, lengths = encode(batch.column(1))
             pieces = -(-lengths // capacity)
             doc = np.repeat(np.arange(len(lengths)), pieces)
             piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)

@@ -122,7 +122,9 @@ def _decode_units(
 
 def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """A whole file: `lengths` ids for each document, one document after the other."""
-    symbols, numbers, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    every = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)  # as long as the vocabulary
+    symbols = np.flatnonzero(every)
+    counts, numbers = every[symbols], (np.cumsum(every > 0) - 1)[ids]
     shares = normalise(counts) if len(counts) else np.zeros(0, np.int64)
     share, below = shares.astype(np.uint64), (np.cumsum(shares) - shares).astype(np.uint64)
     parts, footer = [MAGIC], {"bits": PROBABILITY_BITS, "lanes": LANES, "ids": len(ids), "docs": len(doc_ids), "blocks": []}
@@ -265,8 +267,8 @@ def write_files(
 
         manifest = pa.schema([("path", pa.string()), ("task", pa.int32()), ("file", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("bytes", pa.int64())])
         store.create_dir(root, recursive=True)
-        for batch in slices(batches, 64):
-            flat, lengths = encode(batch.column(1).to_pylist())
+        for batch in slices(batches):
+            flat, lengths = encode(batch.column(1))
             held.append((batch.column(0).to_pylist(), lengths, flat))
             size += len(flat)
             if size >= file_ids:

@@ -13,6 +13,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: How a tokenizer treats a single blank between two words.
 BLANK_LEADS = "leads"  # it belongs to the word after it (byte-level pre-tokenizers)
@@ -20,7 +22,7 @@ BLANK_DROPS = "drops"  # it belongs to no token
 
 #: Words that a worker keeps, and their length. Longer ones and later ones are encoded in each batch anew; when these
 #: are more than half of a batch, the text has changed and the worker starts over.
-CACHE_WORDS, CACHE_WORD_CHARS = 350_000, 512
+CACHE_WORDS, CACHE_WORD_CHARS = 700_000, 512
 #: Words encoded in one call.
 LEARN_AT_ONCE = 4096
 
@@ -28,6 +30,10 @@ LEARN_AT_ONCE = 4096
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+#: The key of a line end between two lines that neither begin nor end with white space.
+_LINE_END = ("\n",)
+
+
 class _Index(dict):
     """Numbers new keys as they come."""
 
@@ -42,7 +48,7 @@ class _Index(dict):
 
 
 def _is_ragged(key) -> bool:
-    if key is None:
+    if key is None or key == _LINE_END:
         return False
     word = key[0] if type(key) is tuple else key
     return not word or word[0].isspace() or word[-1].isspace()
@@ -77,6 +83,7 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.blank, self.end_id = blank, end_id
+        self.mark_id: list[int] | None = None
         self._reset()
 
     def _reset(self) -> None:
@@ -85,21 +92,47 @@ class CachedEncoder:
         self.long = False
         self.ragged = _Grown(bool)  # words with white space at an end: a text with one is cut with care
 
-    def _places(self, texts: list[str | None], careful: bool = False) -> tuple[list[int], list[int]]:
-        number, places, counts = self.index.__getitem__, [], []
-        for text in texts:
-            before = len(places)
-            if text:
-                words = _CUT.split(text) if careful else text.split(" ")
-                if self.blank == BLANK_LEADS:
-                    words[0] = (words[0],)  # no blank stands before it, so its ids may be others
-                places.extend(map(number, words))
-            if self.end_id is not None:
-                places.append(number(None))
-            counts.append(len(places) - before)
-        self._learn(careful)
+    def _places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each word, line end and text end, and how many of them each text has."""
+        leads = self.blank == BLANK_LEADS
+        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n " if leads else " "), " ")
+        counts = np.diff(parts.offsets.to_numpy())
+        ends = np.cumsum(counts)
+        coded = parts.flatten().dictionary_encode()
+        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        plain = np.ones(len(code), bool)  # words with a blank before them, or in a mode where that makes no difference
+        line_end = np.zeros(len(code), bool)
+        if leads:
+            if "\n" in names:
+                line_end = code == names.index("\n")
+            plain[(ends - counts)] = False
+            plain[1:] &= ~line_end[:-1]
+        places = np.empty(len(code), np.int64)
+        for some, key in ((plain & ~line_end, None), (~plain & ~line_end, tuple)):
+            used = np.flatnonzero(np.bincount(code[some], minlength=len(names)))
+            numbers = np.zeros(len(names), np.int64)
+            keys = [names[k] for k in used.tolist()]
+            keys = [(k,) for k in keys] if key else keys
+            numbers[used] = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+            places[some] = numbers[code[some]]
+        if line_end.any():
+            places[line_end] = self.index[_LINE_END]
+        if self.end_id is not None:
+            places, counts = np.insert(places, ends, self.index[None]), counts + 1
+        self._learn(False)
         return places, counts
 
+    def _careful(self, text: str) -> np.ndarray:
+        """The same for one text with white space at an end of a word."""
+        keys: list = _CUT.split(text) if text else []
+        if keys:
+            keys[0] = (keys[0],)
+        if self.end_id is not None:
+            keys.append(None)
+        places = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        self._learn(True)
+        return places
+
     def _learn(self, careful: bool) -> None:
         new, self.index.new = self.index.new, []
         if not new:
@@ -110,19 +143,45 @@ class CachedEncoder:
         ]
         self.long |= max(map(len, texts)) > CACHE_WORD_CHARS
         for at in range(0, len(texts), LEARN_AT_ONCE):  # an encoding is a large object
-            encoded = self.tokenizer.encode_batch_fast(texts[at : at + LEARN_AT_ONCE], add_special_tokens=False)
-            found = [e.ids for e in encoded]
+            ids, lengths = self._encode_words(texts[at : at + LEARN_AT_ONCE])
             if None in new[at : at + LEARN_AT_ONCE]:
-                found[new.index(None) - at] = [self.end_id]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
+                k = new.index(None) - at
+                ids = np.insert(ids, int(lengths[:k].sum()), self.end_id)
+                lengths[k] = 1
             self.starts.extend(self.ids.size + np.cumsum(lengths) - lengths)
             self.lengths.extend(lengths)
-            self.ids.extend(np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum())))
+            self.ids.extend(ids)
         if careful or self.blank == BLANK_DROPS:
             self.ragged.extend(np.zeros(len(new), bool))
         else:
             self.ragged.extend(np.fromiter(map(_is_ragged, new), bool, len(new)))
 
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some words, and how many each has: encoded as one text with a mark after each word.
+
+        The mark is a token of its own next to any word. Words that hold a mark or other white space go one by one.
+        """
+        mark, sign = ("\n", "\n") if self.blank == BLANK_LEADS else (" \x01 ", "\x01")
+        plain = [sign not in w and (not w or len(w.split()) == 1) for w in words]
+        if self.mark_id is None:
+            self.mark_id = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        joined = "".join([w + mark for w, p in zip(words, plain) if p])
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(ids == self.mark_id[0])
+        if len(self.mark_id) != 1 or len(at) != sum(plain):
+            plain, at, ids = [False] * len(words), np.zeros(0, np.int64), ids[:0]
+        lengths = np.zeros(len(words), np.int64)
+        lengths[plain] = np.diff(at, prepend=-1) - 1
+        ids = np.delete(ids, at)
+        if not all(plain):
+            odd = [k for k, p in enumerate(plain) if not p]
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            for k, found in zip(odd, self.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False)):
+                parts[k] = np.array(found.ids, np.uint32)
+                lengths[k] = len(parts[k])
+            ids = np.concatenate(parts)
+        return ids, lengths
+
     def _forget(self, known: int, words: int) -> None:
         """Keep at most CACHE_WORDS words; `known` of them were there before this batch of so many words."""
         late = len(self.index) - max(known, CACHE_WORDS)
@@ -138,17 +197,17 @@ class CachedEncoder:
                 kept.shorten(keep)
             self.long = False
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and how many each text has. A null text counts as empty."""
+        texts = texts.fill_null("")
         known = len(self.index)
-        places, counts = self._places(texts)
-        at = np.array(places, np.int64)
+        at, counts = self._places(texts)
         ragged = self.ragged.data[at]
         if ragged.any():
             rows = np.unique(np.searchsorted(np.cumsum(counts), np.flatnonzero(ragged), side="right"))
             parts = np.split(at, np.cumsum(counts)[:-1])
             for row in rows.tolist():
-                parts[row] = np.array(self._places([texts[row]], careful=True)[0], np.int64)
+                parts[row] = self._careful(texts[row].as_py())
                 counts[row] = len(parts[row])
             at = np.concatenate(parts)
         lengths = self.lengths.data[at]
@@ -156,7 +215,7 @@ class CachedEncoder:
         total = int(ends[-1]) if len(ends) else 0
         gather = np.arange(total) + np.repeat(self.starts.data[at] - ends + lengths, lengths)
         flat = self.ids.data[gather]
-        upto = np.concatenate([[0], ends])[np.cumsum(counts)] if counts else np.zeros(0, np.int64)
+        upto = np.concatenate([[0], ends])[np.cumsum(counts)]
         self._forget(known, len(at))
         return flat, np.diff(upto, prepend=0)
 
