@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import ann, mixing, packing, rans, secret_scan, simhash, weak_rules
+from patchloom.llm import ann, captures, mixing, ordinal, packing, pseudonyms, rans, secret_scan, simhash, warc, weak_rules
 from patchloom.llm.tables import table
 from patchloom.session import shared_dir
 
@@ -84,3 +84,37 @@ def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_pfair_mix"] = mixing.oracle(MIX_WEIGHTS)
+
+
+@query
+def op3_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every revisit among the captures of all pages stands for."""
+    records = warc.parse_records(captures.warc_records(spark, sf_dir))
+    narrow = records.withColumn("payload", F.md5(F.encode("payload", "utf-8")))  # only the digest of a body is fetched
+    headers = F.array_join(F.transform("headers", lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n")
+    return warc.resolve(narrow).select(
+        "record_id", "url", "outcome", "refers_to", headers.alias("headers"), F.col("payload").alias("payload_md5")
+    )
+
+
+ORACLES["op3_warc_revisits"] = captures.ORACLE
+
+#: A key for checks; real ones come from the user's own store of secrets.
+CHECK_KEY = b"only for checks, not for real data"
+
+
+@query
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal numbers and dates replaced."""
+    done = pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), CHECK_KEY)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return done.select("doc_id", "text", F.size("spans").alias("n_spans"), spans.alias("spans"))
+
+
+@query
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, probability of the best grade, and the verdict on every document."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = ordinal.fit(ordinal.rated_documents(docs, labels), ordinal.GRADES)
+    scored = ordinal.score(docs, model, ["doc_id"], ordinal.GRADES - 1)
+    return scored.withColumn("kept", F.col("tail_probability") >= ordinal.KEPT_FROM)

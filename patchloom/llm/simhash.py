@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from patchloom.llm.components import components
 from patchloom.llm.tables import materialize, slices
@@ -70,19 +71,20 @@ def fingerprint(text: bytes, width: int = WIDTH) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id and fingerprint (the 64 bits as a signed long) of every document."""
+def with_fingerprints(docs: DataFrame, name: str, width: int = WIDTH) -> DataFrame:
+    """`docs` with the 64 bits of the fingerprint of `text` as a signed long."""
+    kept = [c for c in docs.columns if c != name]
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept))
+    at = kept.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
             found = np.fromiter((fingerprint(t or b"", width) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fingerprint"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*kept, name])
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(work, "doc_id long, fingerprint long")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(work, f"{fields}, `{name}` long")
 
 
 # ---------------------------------------------------------------- partitions and thresholds
@@ -314,17 +316,35 @@ def links(distinct: DataFrame, plan: list[tuple[list[int], int]], max_bits: int
     return dealt.repartition(*names).sortWithinPartitions(*names).mapInArrow(verify, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
-    found = materialize(fingerprints(docs, width))
+def classes(found: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """(fingerprint, first_id, root) of each fingerprint in `found` (doc_id, fingerprint): its least id, and the root of its class."""
     distinct = materialize(found.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")))
     rows, together = bit_statistics(distinct)
     roots = components(links(distinct, choose_thresholds(rows, together, max_bits), max_bits))
-    rooted = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
+    return distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select(
         "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
     )
+
+
+def near_duplicates(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every document."""
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    found = materialize(with_fingerprints(narrow, "fingerprint", width).drop("text"))
+    rooted = classes(found, max_bits)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = rooted.join(least, "root").select("fingerprint", "component_id")
-    return found.join(classes, "fingerprint").select(
+    named = rooted.join(least, "root").select("fingerprint", "component_id")
+    return found.join(named, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def unique_documents(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of `docs` for each near-duplicate class: that with the least id (null last, then by a hash of the text)."""
+    found = materialize(with_fingerprints(docs, "_simhash", width))
+    rooted = classes(found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_simhash").alias("fingerprint")), max_bits)
+    best = F.min(F.struct(F.col("first_id").isNull(), "first_id", "fingerprint"))["fingerprint"]
+    winners = rooted.groupBy("root").agg(best.alias("_simhash")).select("_simhash")
+    # copies go before the rows are dealt out: each task keeps one row of a fingerprint at most
+    among = Window.partitionBy("_simhash").orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"))
+    firsts = found.withColumn("_simhash_rank", F.row_number().over(among)).filter("_simhash_rank = 1")
+    return firsts.join(winners, "_simhash", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
