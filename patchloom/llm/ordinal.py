@@ -104,7 +104,7 @@ def hashed(docs: DataFrame, keep: list[str], bits: int = BITS) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(bits)
-        for batch in slices(batches):
+        for batch in slices(batches, text=len(keep)):
             found = [hasher.features(t or "") for t in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(found, pa.list_(pa.int32()))], names=[*keep, "features"]
@@ -262,7 +262,7 @@ def score(docs: DataFrame, model: OrdinalModel, keep: list[str], tail_grade: int
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, model = Hasher(bits), held.value
-        for batch in slices(batches):
+        for batch in slices(batches, text=at):
             features = [hasher.features(t or "") for t in batch.column(at).to_pylist()]
             scores, _, _ = _scores(pa.array(features, pa.list_(pa.int32())), model.weights)
             tails = model.tails(scores)

@@ -44,7 +44,7 @@ def tokenized_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path, blank, end_id).encode
-        for batch in slices(batches):
+        for batch in slices(batches, text=1):
             flat, lengths = encode(batch.column(1))
             pieces = -(-lengths // capacity)
             doc = np.repeat(np.arange(len(lengths)), pieces)

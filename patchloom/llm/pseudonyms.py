@@ -238,7 +238,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, text=at):
             texts, spans = batch.column(at).to_pylist(), []
             for k, text in enumerate(texts):
                 found = find(text, key) if text else []

@@ -267,7 +267,7 @@ def write_files(
 
         manifest = pa.schema([("path", pa.string()), ("task", pa.int32()), ("file", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("bytes", pa.int64())])
         store.create_dir(root, recursive=True)
-        for batch in slices(batches):
+        for batch in slices(batches, text=1):
             flat, lengths = encode(batch.column(1))
             held.append((batch.column(0).to_pylist(), lengths, flat))
             size += len(flat)

@@ -195,7 +195,7 @@ def scan(docs: DataFrame) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())]))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, text=1):
             base, added = [], []
             for text in batch.column(1).to_pylist():
                 for spans, out in ((base_spans, base), (added_spans, added)):
@@ -235,7 +235,7 @@ def masked(docs: DataFrame) -> DataFrame:
     at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, text=at):
             texts = [mask(t) if t else t for t in batch.column(at).to_pylist()]
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.schema.field(at).type)

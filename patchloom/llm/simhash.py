@@ -78,7 +78,7 @@ def with_fingerprints(docs: DataFrame, name: str, width: int = WIDTH) -> DataFra
     at = kept.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, text=at):
             texts = batch.column(at).cast(pa.binary()).to_pylist()
             found = np.fromiter((fingerprint(t or b"", width) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], names=[*kept, name])

@@ -18,11 +18,11 @@ import pyarrow.compute as pc
 
 #: How a tokenizer treats a single blank between two words.
 BLANK_LEADS = "leads"  # it belongs to the word after it (byte-level pre-tokenizers)
-BLANK_DROPS = "drops"  # it belongs to no token
+BLANK_DROPS = "drops"  # it belongs to no token, and neither do letters together with punctuation
 
 #: Words that a worker keeps, and their length. Longer ones and later ones are encoded in each batch anew; when these
 #: are more than half of a batch, the text has changed and the worker starts over.
-CACHE_WORDS, CACHE_WORD_CHARS = 700_000, 512
+CACHE_WORDS, CACHE_WORD_CHARS = 350_000, 512
 #: Words encoded in one call.
 LEARN_AT_ONCE = 4096
 
@@ -83,6 +83,7 @@ class CachedEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.blank, self.end_id = blank, end_id
+        self.lowers = "Lowercase()" in str(self.tokenizer.normalizer)
         self.mark_id: list[int] | None = None
         self._reset()
 
@@ -95,7 +96,12 @@ class CachedEncoder:
     def _places(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of each word, line end and text end, and how many of them each text has."""
         leads = self.blank == BLANK_LEADS
-        parts = pc.split_pattern(pc.replace_substring(texts, "\n", " \n " if leads else " "), " ")
+        if leads:
+            texts = pc.replace_substring(texts, "\n", " \n ")
+        else:  # fewer different words: without case, where the tokenizer drops it, and without the stop at their end
+            texts = pc.replace_substring(pc.ascii_lower(texts) if self.lowers else texts, "\n", " ")
+            texts = pc.replace_substring_regex(texts, r"(\pL)([.,]) ", r"\1 \2 ")
+        parts = pc.split_pattern(texts, " ")
         counts = np.diff(parts.offsets.to_numpy())
         ends = np.cumsum(counts)
         coded = parts.flatten().dictionary_encode()

@@ -83,7 +83,7 @@ def measures(docs: DataFrame) -> DataFrame:
     """doc_id and MEASURES of every document."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, text=1):
             found = np.array([measure(t or "") for t in batch.column(1).to_pylist()], np.int64).reshape(-1, len(MEASURES))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(found[:, k]) for k in range(len(MEASURES)))], names=["doc_id", *MEASURES]
