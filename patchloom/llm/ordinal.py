@@ -229,13 +229,14 @@ def fit(rated: DataFrame, grades: int, bits: int = BITS, max_rated: int = MAX_RA
                 v, g = partial_loss(batch.column(1), batch.column(0).to_numpy(), held.value, size)
                 value, gradient = value + v, gradient + g
             yield pa.RecordBatch.from_arrays(
-                [pa.array([value]), pa.array([gradient.tobytes()])], names=["value", "gradient"]
+                [pa.array([value]), pa.array([gradient.astype(np.float32).tobytes()])], names=["value", "gradient"]
             )
 
         value, gradient = 0.0, np.zeros(size + cuts)
-        for v, g in stored.select("grade", "features").mapInArrow(part, "value double, gradient binary").collect():
-            value += v  # a row per partition, of which there are PARTS at most
-            gradient += np.frombuffer(g)
+        sums = stored.select("grade", "features").coalesce(PARTS).mapInArrow(part, "value double, gradient binary")
+        for v, g in sums.collect():  # a row per partition, of which there are PARTS at most
+            value += v
+            gradient += np.frombuffer(g, np.float32)
         held.unpersist()
         weights = theta[:size]
         value = value / total + 0.5 * penalty * float(weights @ weights)
