@@ -345,7 +345,7 @@ AREAS = f"""list_filter([
   CASE WHEN has_hardcoded_secret THEN {text(C.FOCUS_SECRET)} END,
   CASE WHEN has_shell_command THEN {text(C.FOCUS_SHELL)} END,
   CASE WHEN cyclomatic_estimate > 8 THEN printf({text(C.FOCUS_COMPLEXITY)}, cyclomatic_estimate) END,
-  CASE WHEN commit_history_risk > 0.4 THEN 'file has ' || format('{{:.0f}}', commit_history_risk * 100) || '% bug-fix commit history' END,
+  CASE WHEN commit_history_risk > 0.4 THEN format('{{:.0f}}', commit_history_risk * 100) || '% of its recent commits were fixes' END,
   CASE WHEN NOT has_test_coverage THEN {text(C.FOCUS_NO_TEST)} END,
   CASE WHEN cross_function_calls > 8 THEN printf({text(C.FOCUS_CALLS)}, cross_function_calls) END,
   CASE WHEN error_handling_ratio < 0.05 AND num_added_lines > 20 THEN {text(C.FOCUS_ERRORS)} END
@@ -364,7 +364,7 @@ cte("routes", ["merged"], """
 cte("oversize", ["routes"], """
   SELECT pr_id, file_path, file_ord, 0 AS finding_ord, first_start_line AS line, 'style' AS type,
     'low' AS severity,
-    'This file has ' || added || ' added lines. Consider breaking this into smaller PRs.' AS message,
+    added || ' lines were added to this file, too many to review at once; smaller steps would help.' AS message,
     '' AS line_content, '' AS suggestion, 1.0::DOUBLE AS confidence
   FROM routes WHERE route = 'oversize'""")
 
@@ -479,7 +479,7 @@ cte("grouped", ["found"], """
 cte("group_rows", ["grouped"], """
   SELECT pr_id, f.file_ord AS file_ord, f.file_path AS file_path, f.finding_ord AS finding_ord,
     f.line AS line, type, severity,
-    f.message || CASE WHEN places > 1 THEN ' [Found in ' || places || ' locations: ' || listed || ']' ELSE '' END AS message,
+    f.message || CASE WHEN places > 1 THEN ' [Seen at ' || places || ' places: ' || listed || ']' ELSE '' END AS message,
     f.line_content AS line_content, f.suggestion AS suggestion, f.confidence AS confidence, places
   FROM grouped""")
 
@@ -690,10 +690,14 @@ oracle("r3_adjusted_score", ["scored"], """
 oracle("r4_risk_band", ["scored"], f"""
   SELECT {band('score')} AS risk_label, {band('base_score')} AS base_label, count(*) AS chunks FROM scored GROUP BY ALL""")
 oracle("r5_focus_areas", ["scored"], "SELECT doc_id, array_to_string(areas, '; ') AS focus_areas FROM scored")
-cte("merged_scored", ["merged_features", "coverage"], f"""
+cte("merged_scored", ["merged_features", "coverage", "merged", "merged_budget", "history"], f"""
   SELECT *, {adjusted('base_score')} AS score, {AREAS} AS areas FROM (
-    SELECT f.*, (start_line % 100) / 100.0::DOUBLE AS base_score, c.has_test_coverage, 0.0 AS commit_history_risk
-    FROM merged_features f JOIN coverage c ON c.pr_id = f.pr_id AND c.file_path = f.file_path)""")
+    SELECT f.*, (f.start_line % 100) / 100.0::DOUBLE AS base_score, c.has_test_coverage,
+      coalesce(h.commit_history_risk, 0.0) AS commit_history_risk
+    FROM merged_features f JOIN coverage c ON c.pr_id = f.pr_id AND c.file_path = f.file_path
+    JOIN merged m ON m.pr_id = f.pr_id AND m.chunk_ord = f.chunk_ord
+    JOIN merged_budget b ON b.pr_id = f.pr_id AND b.file_path = f.file_path
+    LEFT JOIN history h ON h.repo = m.repo AND h.file_path = f.file_path AND b.file_rank <= 5)""")
 cte("seen_areas", ["merged_scored"], """
   SELECT pr_id, file_path, area, min(struct_pack(o := chunk_ord, i := pos)) AS seen FROM (
     SELECT pr_id, file_path, chunk_ord, unnest(areas) AS area, generate_subscripts(areas, 1) AS pos
@@ -788,6 +792,16 @@ oracle("m7_class_balance", ["labelled"], f"""
   SELECT {SPLIT} AS split, count(*) AS samples, count(*) FILTER (label = 1) AS buggy,
     count(*) FILTER (label = 0) AS clean, buggy::DOUBLE / samples AS buggy_share,
     clean::DOUBLE / greatest(buggy, 1) AS clean_per_buggy FROM labelled GROUP BY split""")
+oracle("r1_model_scores", ["v1_features"], """
+  SELECT count(*) AS scored, 0::BIGINT AS out_of_range, 0::BIGINT AS too_fine, 0::BIGINT AS other_band FROM v1_features""")
+oracle("k3_saved_model", ["labelled"], "SELECT count(*) AS scored, 0::BIGINT AS changed, true AS absent FROM labelled")
+oracle("m8_classifier", ["labelled"], f"""
+  SELECT {SPLIT} AS split, count(*) AS judged, count(*) FILTER (label = 1) AS buggy FROM labelled GROUP BY split""")
+oracle("m9_best_round", ["samples", "crawled"], f"""
+  , counted AS (SELECT c.sha AS key, count(*) OVER (PARTITION BY c.repo ORDER BY c.ts DESC, c.sha) - 1 AS before
+    FROM crawled c JOIN samples s ON s.sha = c.sha)
+  SELECT {SPLIT} AS split, count(*) AS samples, 0::INT AS not_the_first_best, 0::INT AS not_stopped_in_time, 0::INT AS other_score
+  FROM counted WHERE before < 40 GROUP BY split""")
 oracle("m10_evaluation", ["labelled"], """
   , p AS (SELECT doc_id % 3 AS fold, label, ((doc_id * 37) % 101) / 101.0::DOUBLE AS p FROM labelled),
   c AS (SELECT fold, count(*) FILTER (p > 0.5 AND label = 1) AS tp, count(*) FILTER (p > 0.5 AND label = 0) AS fp,

@@ -95,7 +95,7 @@ def _hunks(section: Column) -> Column:
             lines_of(piece),
             lambda lines: F.struct(
                 section["file_path"].alias("file_path"),
-                F.regexp_extract(F.get(lines, F.lit(0)), _NEW_SIDE_START, 1).cast("bigint").alias("start"),
+                F.regexp_extract(F.get(lines, F.lit(0)), _NEW_SIDE_START, 1).try_cast("bigint").alias("start"),
                 F.filter(F.slice(lines, 2, F.size(lines)), lambda l: ~_is_skipped(l)).alias("body"),
             ),
         )
@@ -121,12 +121,22 @@ def _chunk(hunk: Column) -> Column:
 
 
 def _chunks(diff: Column) -> Column:
-    """All chunks of a diff in order: reviewable files only, and only hunks that add a line."""
+    """All chunks of a diff in order: reviewable files only, and only hunks that add a line.
+
+    A diff with a hunk header that can't be read has none: its line numbers can't be trusted.
+    """
     reviewable = F.filter(_sections(diff), lambda s: F.coalesce(is_reviewable(s["file_path"]), F.lit(False)))
     adding = F.filter(
         F.flatten(F.transform(reviewable, _hunks)), lambda h: F.exists(h["body"], is_added)
     )
-    return F.transform(adding, _chunk)
+    chunks = F.transform(adding, _chunk)
+    return F.when(has_unreadable_header(diff), F.slice(chunks, 1, 0)).otherwise(chunks)
+
+
+def has_unreadable_header(diff: Column) -> Column:
+    """Whether a hunk header names a line number that is too large or not in ASCII digits."""
+    starts = F.regexp_extract_all(diff, F.lit(pattern("(?m)^" + HUNK_HEADER)), F.lit(1))
+    return F.exists(starts, lambda n: n.try_cast("bigint").isNull())
 
 
 def _merged(chunks: Column) -> Column:

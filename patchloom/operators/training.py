@@ -139,11 +139,13 @@ def train(
     steps: int = 10,
     layers: list[int] = LAYERS,
     seed: int = 42,
+    history: list[float] | None = None,
 ) -> tuple[PipelineModel, dict]:
     """Fit on the training split, keep the model that is best on validation, stop without gain.
 
     Each round goes on from the weights of the one before for ``steps`` iterations. ``samples`` are
-    the 27 features, ``label`` and ``split``. Returns the best model and its validation scores.
+    the 27 features, ``label`` and ``split``. Returns the best model and its validation scores; the F1 of each
+    round is added to ``history``.
     """
     scaling = Pipeline(stages=[
         VectorAssembler(inputCols=C.VECTOR_COLUMNS, outputCol="raw_features"),
@@ -156,7 +158,7 @@ def train(
     # every pass of every round reads the scaled vectors
     scaled = materialize(scaler.transform(training).select("features", "label"))
 
-    best, best_scores, weights, idle = None, {"val_f1": -1.0}, None, 0
+    best, best_scores, weights, idle = None, {"val_f1": 0.0}, None, 0
     for number in range(1, rounds + 1):
         learner = MultilayerPerceptronClassifier(
             layers=layers, maxIter=steps, seed=seed, featuresCol="features", labelCol="label"
@@ -167,6 +169,8 @@ def train(
         weights = fitted.weights
         model = PipelineModel(stages=[*scaler.stages, fitted])
         scores = evaluate(_predictions(model, validation)).first()
+        if history is not None:
+            history.append(0.0 if scores is None else scores["f1"])
         if scores is not None and scores["f1"] > best_scores["val_f1"]:
             best, idle = model, 0
             best_scores = {
@@ -174,6 +178,11 @@ def train(
                 "val_recall": scores["recall"], "round": number,
             }
         else:
+            if best is None:  # the answer if no round ever gains
+                best, first = model, scores
+                best_scores |= {"val_precision": 0.0, "val_recall": 0.0, "round": number}
+                if first is not None:
+                    best_scores |= {"val_precision": first["precision"], "val_recall": first["recall"]}
             idle += 1
             if idle >= patience:
                 break

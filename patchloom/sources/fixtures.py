@@ -22,13 +22,13 @@ CODE_LINES = [
     "from  typing  import Any",
     "importlib.reload(mod)",
     "def load_user(uid):",
-    "    query = f\"SELECT * FROM users WHERE id = {uid}\"",
+    "  sql = f\"DELETE FROM carts WHERE owner = {who}\"",
     "\tcursor.execute('update t set a = 1')",
     "    DROP  the INDEX only",
-    "result = eval (user_input)",
+    "shown = eval (template)",
     "medieval(x); evaluate(y)",
     "os.system('ls ' + path); subprocess.Popen(cmd)",
-    "api_key = \"sk-1234567890\"",
+    "api_key = \"q7-zz-90817263\"",
     "token = 'abc'",
     "# TODO: remove this HACK",
     "debugger; TODOS = []",
@@ -71,20 +71,14 @@ COMMIT_MESSAGES = {
 }
 
 
-#: a table below this size may sit in one row group, which one task would read alone
-SMALL_TABLE_BYTES = 1 << 30
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def read_spread(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """For work that is heavy per byte: a small table is spread over the cores, a large one is split
-    by its files already and is left as it is."""
-    df = read(spark, sf_dir, table)
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size < SMALL_TABLE_BYTES else df
+def read_spread(spark: SparkSession, sf_dir: str, table: str, key: str) -> DataFrame:
+    """For work that is heavy per byte: rows are dealt out by their key, whatever the size of the table and of its files."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return read(spark, sf_dir, table).repartition(parts, key)
 
 
 def _pick(values: list[str], index: Column) -> Column:
@@ -110,7 +104,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sequence(F.lit(0).cast("bigint"), count - 1),
         lambda k: _pick(CODE_LINES, (doc + k * (F.lit(1) + doc % 5)) % len(CODE_LINES)),
     )
-    return read_spread(spark, sf_dir, "documents").select(
+    return read_spread(spark, sf_dir, "documents", "doc_id").select(
         "doc_id",
         pr_of_doc(F.col("source"), doc).alias("pr_id"),
         F.concat(F.lit("org/"), F.col("source")).alias("repo"),
@@ -294,7 +288,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     message = F.lit(None).cast("string")
     for kind, texts in COMMIT_MESSAGES.items():
         message = F.when(F.col("event_type") == kind, _pick(texts, event % 3)).otherwise(message)
-    return read_spread(spark, sf_dir, "events").select(
+    return read_spread(spark, sf_dir, "events", "event_id").select(
         F.concat(F.lit("org/"), source).alias("repo"),
         path_of_doc(source, doc).alias("file_path"),
         F.col("ts").alias("committed_at"),
@@ -320,7 +314,7 @@ def commit_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("@@ -0,0 +1,"), count.cast("string"), F.lit(" @@")),
         F.concat_ws("\n", line),
     )
-    return read_spread(spark, sf_dir, "events").select(
+    return read_spread(spark, sf_dir, "events", "event_id").select(
         event.cast("string").alias("sha"),
         F.when(event % 23 == 0, F.lit(None)).when(event % 23 == 1, F.lit("")).otherwise(diff).alias("diff"),
     )
@@ -339,7 +333,7 @@ def _order_file() -> Column:
 
 
 def _reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_spread(spark, sf_dir, "lineitem").select(
+    return read_spread(spark, sf_dir, "lineitem", "l_orderkey").select(
         F.concat(F.lit("pr-"), F.floor(F.col("l_orderkey") / 8).cast("string")).alias("pr_id"),
         _order_file().alias("file_path"),
         F.col("l_linenumber").cast("bigint").alias("n"),

@@ -14,6 +14,7 @@ from patchloom.functions.constants import (
     VECTOR_COLUMNS,
 )
 from patchloom.functions.text import lines_of
+from patchloom.operators.diffs import has_unreadable_header
 
 
 def read_diff_files(spark: SparkSession, path: str) -> DataFrame:
@@ -29,15 +30,19 @@ def with_diffs(diffs: DataFrame) -> DataFrame:
 
 
 def pr_status(pull_requests: DataFrame, diffs: DataFrame) -> DataFrame:
-    """Every PR with the lines of its diff; one whose diff is missing or empty has status ``error``.
+    """Every PR with a status: ``error`` where the diff is missing, empty or has a hunk header that can't be read.
 
-    Only the count goes through the join: the diffs themselves are parsed where they lie.
+    Only a flag goes through the join: the diffs themselves are parsed where they lie.
     """
-    counts = with_diffs(diffs).select("pr_id", F.size(lines_of(F.col("diff"))).alias("diff_lines"))
-    joined = pull_requests.join(counts, "pr_id", "left")
-    return joined.withColumn(
-        "status", F.when(F.col("diff_lines").isNotNull(), F.lit("ok")).otherwise(F.lit("error"))
-    )
+    flags = with_diffs(diffs).select("pr_id", has_unreadable_header(F.col("diff")).alias("unreadable"))
+    joined = pull_requests.join(flags, "pr_id", "left")
+    status = F.when(F.coalesce(F.col("unreadable"), F.lit(True)), F.lit("error")).otherwise(F.lit("ok"))
+    return joined.withColumn("status", status).drop("unreadable")
+
+
+def diff_line_counts(diffs: DataFrame) -> DataFrame:
+    """The number of lines of each diff that is not empty."""
+    return with_diffs(diffs).select("pr_id", F.size(lines_of(F.col("diff"))).alias("diff_lines"))
 
 
 def pr_metadata(pull_requests: DataFrame) -> DataFrame:
@@ -98,7 +103,7 @@ def sampled_repos(repos: DataFrame, count: int, seed: int = 42) -> DataFrame:
     """``count`` repositories, the same ones for the same seed: the lowest keyed hashes win."""
     distinct = repos.select("repo").distinct()
     ranked = distinct.withColumn("rank_key", F.md5(F.concat(F.lit(str(seed)), F.col("repo"))))
-    return ranked.orderBy("rank_key", "repo").limit(min(count, len(SEED_REPOS)))
+    return ranked.orderBy("rank_key", "repo").limit(count)
 
 
 def seed_repos(spark: SparkSession) -> DataFrame:

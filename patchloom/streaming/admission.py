@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from patchloom.functions.constants import ADMISSION_CAP, ADMISSION_WINDOW_SECONDS
+from patchloom.operators.events import admit_in_order
 
 OUTPUT = "client string, request_id bigint, at bigint, admitted boolean"
 
@@ -21,8 +25,10 @@ def admission_stream(
 ) -> DataFrame:
     """Streaming rows (client, request_id, at, admitted) from rows (client, request_id, ts).
 
-    The clock is event time. Rows later than the watermark, one window behind, are dropped, and a
-    client's state ends once the watermark has passed its last admission by a window.
+    The clock is event time. A request is held until the watermark, one window behind, has passed it: then no
+    earlier one can come any more, and requests are decided in the order (time, id) however they arrived. Rows later
+    than the watermark are dropped. The state of a client is what it holds back and at most ``cap`` admitted times,
+    and ends once the watermark has passed the last of them by a window.
     """
     width = window_seconds * 1_000_000
     timed = (
@@ -34,23 +40,27 @@ def admission_stream(
     def admit(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        times, held = (deque(state.get[0]), list(zip(state.get[1], state.get[2]))) if state.exists else (deque(), [])
+        for batch in batches:
+            held += zip(batch["at"].tolist(), batch["request_id"].tolist())
+        held.sort()
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready = bisect.bisect_left(held, (passed,))
+        verdicts = admit_in_order(np.array([at for at, _ in held[:ready]], np.int64), times, width, cap)
+        decided, held = held[:ready], held[ready:]
+        while times and passed - times[0] >= width:
+            times.popleft()
+        if held or times:
+            state.update((list(times), [at for at, _ in held], [key for _, key in held]))
+            next_ms = held[0][0] // 1000 + 1 if held else times[-1] // 1000 + window_seconds * 1000 + 1
+            state.setTimeoutTimestamp(max(next_ms, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        # a client's rows of one micro-batch come in any order
-        arrived = pd.concat(list(batches)).sort_values(["at", "request_id"])
-        verdicts = []
-        for at in arrived["at"]:
-            times = [t for t in times if at - t < width]
-            verdicts.append(len(times) < cap)
-            if verdicts[-1]:
-                times.append(int(at))
-        state.update((times,))
-        last_ms = max(times[-1], int(arrived["at"].iloc[-1])) // 1000
-        state.setTimeoutTimestamp(max(last_ms + window_seconds * 1000, state.getCurrentWatermarkMs() + 1))
-        yield arrived.assign(admitted=verdicts)[["client", "request_id", "at", "admitted"]]
+        if decided:
+            yield pd.DataFrame({
+                "client": key[0], "request_id": [r for _, r in decided], "at": [at for at, _ in decided], "admitted": verdicts,
+            })
 
     return timed.groupBy("client").applyInPandasWithState(
-        admit, OUTPUT, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+        admit, OUTPUT, "times array<bigint>, held_at array<bigint>, held_id array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )

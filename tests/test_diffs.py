@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patchloom.operators import diffs as D
+from patchloom.sources import landed
 
 CHUNK = ["file_path", "start_line", "end_line", "added_lines", "context_lines", "raw_patch"]
 
@@ -150,3 +151,14 @@ def test_one_diff_with_most_of_the_lines(spark):
     ).orderBy("chunk_ord").collect()
     assert [(r.file_path, r.start_line, r.end_line, r.n) for r in got] == want
     assert time.time() - begin < 60
+
+
+@pytest.mark.parametrize("start", ["99999999999999999999", "\u0663"])
+def test_a_header_that_cannot_be_read_costs_its_diff_only(spark, start):
+    bad = f"diff --git a/x.py b/x.py\n@@ -1,1 +{start},1 @@\n+a = 1\n@@ -9,1 +9,1 @@\n+b = 2\n"
+    good = "diff --git a/x.py b/x.py\n@@ -1,1 +5,1 @@\n+a = 1\n"
+    df = spark.createDataFrame([("bad", bad), ("good", good)], "pr_id string, diff string")
+    assert [(r.pr_id, r.start_line) for r in D.parse_diffs(df, ["pr_id"]).collect()] == [("good", 5)]
+    prs = spark.createDataFrame([("bad",), ("good",), ("none",)], "pr_id string")
+    got = {r.pr_id: r.status for r in landed.pr_status(prs, df).collect()}
+    assert got == {"bad": "error", "good": "ok", "none": "error"}

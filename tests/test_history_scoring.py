@@ -95,8 +95,7 @@ def test_focus_areas(spark):
         C.FOCUS_EVAL, C.FOCUS_SHELL, C.FOCUS_NO_TEST,
     ]
     assert areas(cyclomatic_estimate=9, commit_history_risk=0.625, cross_function_calls=9) == [
-        "high cyclomatic complexity (9)", "file has 62% bug-fix commit history",
-        "calls 9 external functions (integration risk)",
+        "many paths through the code (about 9)", "62% of its recent commits were fixes", "leans on 9 functions from elsewhere",
     ]
 
 

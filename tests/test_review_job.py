@@ -94,7 +94,7 @@ def test_snippets(spark):
     answers = spark.createDataFrame([("s1", "a.py", "ok", text)], "snippet_id string, file_path string, status string, response_text string")
     found = {r.snippet_id: r for r in snippets.snippet_review(table, answers).collect()}
     assert (found["s1"].line, found["s1"].type, found["s1"].total_findings) == (2, "security", 1)
-    assert found["s4"].message.startswith("This file has 601") and set(found) == {"s1", "s4"}
+    assert found["s4"].message.startswith("601 lines") and set(found) == {"s1", "s4"}
     risk = {r.snippet_id: r for r in snippets.snippet_scores(table).collect()}
     assert set(risk) == {"s1", "s2", "s4"} and risk["s2"].file_path == "snippet.py"
     assert risk["s1"].risk_score == 0.7 and risk["s1"].would_trigger_review and len(risk["s1"].risk_factors) == 2

@@ -58,6 +58,8 @@ def test_crawl_and_sample(spark):
     assert len(picked) == 7 and set(picked) <= set(SEED_REPOS)
     assert picked == [r.repo for r in landed.sampled_repos(landed.seed_repos(spark), 7, 1).collect()]
     assert landed.sampled_repos(landed.seed_repos(spark), 99).count() == 20
+    many = spark.range(60).selectExpr("concat('r', id) AS repo")
+    assert landed.sampled_repos(many, 40).count() == 40
 
 
 def labelled(spark, count=400):
