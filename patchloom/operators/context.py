@@ -42,10 +42,12 @@ def files_in_order(high_chunks: DataFrame) -> DataFrame:
 def reviewed_files(high_chunks: DataFrame, routes: DataFrame) -> DataFrame:
     """One row per file that goes to review, with its chunks in order.
 
-    The route is decided from counts first, so a list holds at most 500 added lines.
+    The route is decided from counts first, so a list holds at most 500 added lines; of the lines around a chunk
+    only those that a prompt shows are kept.
     """
     prompt = routes.filter(F.col("route") == ROUTE_PROMPT).select("pr_id", "file_path", "file_ord")
-    entry = F.struct("chunk_ord", "start_line", "end_line", "added_lines", "context_lines")
+    shown = F.slice("context_lines", 1, C.PROMPT_CONTEXT_LINES).alias("context_lines")
+    entry = F.struct("chunk_ord", "start_line", "end_line", "added_lines", shown)
     return (
         high_chunks.join(prompt, ["pr_id", "file_path"])
         .groupBy("pr_id", "file_path")

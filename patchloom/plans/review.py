@@ -68,7 +68,7 @@ def triage(
     chunks by five, so both are stored once.
     """
     prs = landed.pr_status(pull_requests, diff_table)
-    chunks = diffs.review_chunks(landed.with_diffs(diff_table), ["pr_id"])
+    chunks = diffs.review_chunks(landed.with_diffs(diff_table), ["pr_id"]).drop("raw_patch")
     chunks = materialize(chunks) if store else chunks
     scored = scored_chunks(chunks, pull_requests, pr_files, commits, model)
     scored = materialize(scored) if store else scored
@@ -116,7 +116,12 @@ def conclude(
     responses: DataFrame,
     store: bool = True,
 ) -> Conclusion:
-    """From answers to comments, summaries and reports."""
+    """From answers to comments, summaries and reports.
+
+    Routes, files and grouped findings are each read by several branches, so they are stored once.
+    """
+    if store:
+        routes, files = materialize(routes), materialize(files)
     grouped = grouped_findings(routes, files, responses)
     grouped = materialize(grouped) if store else grouped
     totals = findings.per_pr(
