@@ -1,7 +1,8 @@
 """Quality by weak supervision: rules vote good, bad or abstain, and expectation-maximisation weighs them.
 
-Nobody has labelled the texts. Each rule is right with an unknown probability when it votes; the share of good texts is
-unknown too. Both are estimated from how the votes agree, over all documents. Only the number of documents per
+Nobody has labelled the texts. How often a rule that votes is right is unknown, apart for good and for bad texts; so is the
+share of good texts. Rules are written so that they seldom call a good text bad, and the estimates are held to that; how
+often they notice a bad one is left to the data. All are estimated from how the votes agree, over all documents. Only the number of documents per
 combination of votes is needed, at most 3 to the power of the number of rules, so the driver sees no more than that
 however many documents there are. The posterior probability of good, not a set of tests that must all pass, decides.
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,11 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 #: Steps of expectation-maximisation, and the change of all estimates at which it ends.
-STEPS, TOLERANCE = 200, 1e-7
-#: A rule is held to be better than chance, and never perfect.
-LEAST_ACCURACY, MOST_ACCURACY = 0.55, 0.995
-FIRST_ACCURACY, FIRST_PRIOR = 0.8, 0.8
+STEPS, TOLERANCE = 300, 1e-7
+#: Bounds of a rule's accuracy when it votes: on good texts, where one wrong vote in 200 is the most a rule is
+#: granted, and on bad ones, most of which a rule may miss.
+GOOD_BOUNDS, BAD_BOUNDS = (0.995, 0.999), (0.05, 0.95)
+FIRST_GOOD, FIRST_BAD, FIRST_PRIOR = 0.995, 0.3, 0.8
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_loud",
@@ -117,29 +120,40 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(votes: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
-    """Share of good documents and the accuracy of each rule, from combinations of votes (-1, 0, 1) and their counts."""
-    prior, accuracy = FIRST_PRIOR, np.full(votes.shape[1], FIRST_ACCURACY)
-    voted = votes != 0
+@dataclass
+class VoteModel:
+    """Share of good documents, and how often each rule that votes is right on good and on bad ones."""
+
+    prior: float
+    good: np.ndarray
+    bad: np.ndarray
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of good for each combination of votes (-1, 0, 1); abstentions tell nothing."""
+        odds = np.log(self.prior / (1 - self.prior))
+        odds = odds + (votes > 0) @ np.log(self.good / (1 - self.bad)) + (votes < 0) @ np.log((1 - self.good) / self.bad)
+        return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+
+
+def fit(votes: np.ndarray, counts: np.ndarray) -> VoteModel:
+    """Expectation-maximisation over combinations of votes and their counts."""
+    rules = votes.shape[1]
+    model = VoteModel(FIRST_PRIOR, np.full(rules, FIRST_GOOD), np.full(rules, FIRST_BAD))
+    for_good, for_bad = (votes > 0).astype(float), (votes < 0).astype(float)
     for _ in range(STEPS):
-        good = posterior(votes, prior, accuracy)
-        right = np.where(votes > 0, good[:, None], 1 - good[:, None])
-        total = (voted * counts[:, None]).sum(axis=0)
-        hits = (right * voted * counts[:, None]).sum(axis=0)
-        # one imagined right and one imagined wrong vote per rule keep silent rules at their first value
-        fresh = np.clip((hits + 2 * FIRST_ACCURACY) / (total + 2), LEAST_ACCURACY, MOST_ACCURACY)
-        share = float(np.clip((good * counts).sum() / max(counts.sum(), 1), 0.01, 0.99))
-        moved = max(abs(share - prior), float(np.abs(fresh - accuracy).max()))
-        prior, accuracy = share, fresh
+        chance = model.posterior(votes)
+        good, bad = chance * counts, (1 - chance) * counts
+        # two imagined votes per rule keep silent rules at their first value
+        right_good = (good @ for_good + 2 * FIRST_GOOD) / (good @ (for_good + for_bad) + 2)
+        right_bad = (bad @ for_bad + 2 * FIRST_BAD) / (bad @ (for_good + for_bad) + 2)
+        fresh = VoteModel(
+            float(np.clip(good.sum() / max(counts.sum(), 1), 0.01, 0.99)), np.clip(right_good, *GOOD_BOUNDS), np.clip(right_bad, *BAD_BOUNDS)
+        )
+        moved = max(abs(fresh.prior - model.prior), np.abs(fresh.good - model.good).max(), np.abs(fresh.bad - model.bad).max())
+        model = fresh
         if moved < TOLERANCE:
             break
-    return prior, accuracy
-
-
-def posterior(votes: np.ndarray, prior: float, accuracy: np.ndarray) -> np.ndarray:
-    """Probability of good for each combination of votes."""
-    odds = np.log(prior / (1 - prior)) + votes @ np.log(accuracy / (1 - accuracy))
-    return 1 / (1 + np.exp(-odds))
+    return model
 
 
 def label(docs: DataFrame) -> DataFrame:
@@ -149,8 +163,8 @@ def label(docs: DataFrame) -> DataFrame:
     measured = materialize(measures(docs).withColumn("votes", taken))
     combinations = measured.groupBy("votes").agg(F.count("*").alias("n")).collect()  # 3 ** rules rows at most
     votes = np.array([r[0].split(",") for r in combinations], np.int64).reshape(-1, len(voting))
-    prior, accuracy = fit(votes, np.array([r[1] for r in combinations], np.float64))
-    quality = np.round(posterior(votes, prior, accuracy), 9).tolist()
+    model = fit(votes, np.array([r[1] for r in combinations], np.float64))
+    quality = np.round(model.posterior(votes), 9).tolist()
     known = T.StructType([T.StructField("votes", T.StringType()), T.StructField("quality", T.DoubleType())])
     weighed = docs.sparkSession.createDataFrame([(r[0], q) for r, q in zip(combinations, quality)], known)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
