@@ -154,7 +154,7 @@ def s3_pr_metadata(spark, sf):
 
 @query
 def s4_file_content(spark, sf):
-    return landed.file_content(X.file_contents(spark, sf), ["pr_id", "path"])
+    return landed.file_content(X.file_contents(spark, sf), ["pr_id", "path"]).drop("too_large")
 
 
 @query

@@ -58,16 +58,20 @@ def changed_files(pull_requests: DataFrame, pr_files: DataFrame) -> DataFrame:
     )
 
 
-def file_content(file_contents: DataFrame, keys: list[str]) -> DataFrame:
+def file_content(
+    file_contents: DataFrame, keys: list[str], max_bytes: int | None = CONTENT_MAX_BYTES
+) -> DataFrame:
     """Decoded text, empty when the file is too large or not base64; bad bytes become U+FFFD.
 
-    Characters outside the base64 alphabet are passed over, as a lenient decoder does.
+    Characters outside the base64 alphabet are passed over, as a lenient decoder does. ``too_large`` tells
+    which files the limit left out; ``max_bytes=None`` turns it off.
     """
     letters = F.regexp_replace("content_b64", "[^A-Za-z0-9+/=]", "")
     text = F.make_valid_utf8(F.try_to_binary(letters, F.lit("base64")).cast("string"))
-    fits = F.coalesce(F.col("size"), F.lit(0)) <= CONTENT_MAX_BYTES
+    size = F.coalesce(F.col("size"), F.lit(0))
+    fits = F.lit(True) if max_bytes is None else size <= max_bytes
     return file_contents.select(
-        *keys, F.when(fits, F.coalesce(text, F.lit(""))).otherwise("").alias("content")
+        *keys, F.when(fits, F.coalesce(text, F.lit(""))).otherwise("").alias("content"), (~fits).alias("too_large")
     )
 
 
@@ -110,13 +114,13 @@ def seed_repos(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(name,) for name in SEED_REPOS], "repo string")
 
 
-def snippet_chunks(snippets: DataFrame) -> DataFrame:
-    """Submitted code as one all-added chunk each; code over the length limit is marked rejected."""
+def snippet_chunks(snippets: DataFrame, max_chars: int | None = SNIPPET_MAX_CHARS) -> DataFrame:
+    """Submitted code as one all-added chunk each; code over the length limit (None: no limit) is marked rejected."""
     lines = lines_of(F.col("code"))
     return snippets.select(
         "snippet_id",
         F.coalesce("filename", F.lit("snippet.py")).alias("file_path"),
-        (F.length("code") <= SNIPPET_MAX_CHARS).alias("accepted"),
+        (F.lit(True) if max_chars is None else F.length("code") <= max_chars).alias("accepted"),
         F.lit(0).cast("bigint").alias("chunk_ord"),
         F.lit(1).cast("bigint").alias("start_line"),
         F.size(lines).cast("bigint").alias("end_line"),
