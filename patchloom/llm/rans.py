@@ -38,7 +38,7 @@ MAGIC = b"LOOMRANS"
 PROBABILITY_BITS = 20
 LANES, STEPS, CHECKPOINT = 32, 1024, 256
 #: Ids after which a file ends, and blocks coded at once.
-FILE_IDS, GROUP = 1 << 21, 64
+FILE_IDS, GROUP = 1 << 21, 16
 END_ID = 2
 
 _LOW = np.uint64(1 << 31)
@@ -124,7 +124,7 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray)
     """A whole file: `lengths` ids for each document, one document after the other."""
     every = np.bincount(ids) if len(ids) else np.zeros(0, np.int64)  # as long as the vocabulary
     symbols = np.flatnonzero(every)
-    counts, numbers = every[symbols], (np.cumsum(every > 0) - 1)[ids]
+    counts, numbers = every[symbols], (np.cumsum(every > 0, dtype=np.int32) - 1)[ids]
     shares = normalise(counts) if len(counts) else np.zeros(0, np.int64)
     share, below = shares.astype(np.uint64), (np.cumsum(shares) - shares).astype(np.uint64)
     parts, footer = [MAGIC], {"bits": PROBABILITY_BITS, "lanes": LANES, "ids": len(ids), "docs": len(doc_ids), "blocks": []}
@@ -144,7 +144,7 @@ def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray)
 
     def code(first: int, blocks: int, steps: int) -> None:
         part = numbers[first : first + blocks * steps * LANES]
-        grid = np.full(blocks * steps * LANES, top, np.int64)
+        grid = np.full(blocks * steps * LANES, top, np.int32)
         grid[: len(part)] = part
         grid = grid.reshape(blocks, steps, LANES).transpose(1, 0, 2)
         for words, states, places in _encode_grid(grid, share, below):

@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows that a Python task works on at a time, and the bytes of text among them.
-SLICE_ROWS, SLICE_BYTES = 2048, 3_000_000
+SLICE_ROWS, SLICE_BYTES = 2048, 1_000_000
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, text: int | None = None) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ BLANK_DROPS = "drops"  # it belongs to no token, and neither do letters together
 
 #: Words that a worker keeps, and their length. Longer ones and later ones are encoded in each batch anew; when these
 #: are more than half of a batch, the text has changed and the worker starts over.
-CACHE_WORDS, CACHE_WORD_CHARS = 350_000, 512
+CACHE_WORDS, CACHE_WORD_CHARS = 250_000, 512
 #: Words encoded in one call.
 LEARN_AT_ONCE = 4096
 
@@ -223,6 +223,7 @@ class CachedEncoder:
         flat = self.ids.data[gather]
         upto = np.concatenate([[0], ends])[np.cumsum(counts)]
         self._forget(known, len(at))
+        pa.default_memory_pool().release_unused()
         return flat, np.diff(upto, prepend=0)
 
 
