@@ -114,14 +114,15 @@ def resolve(records: DataFrame) -> DataFrame:
     304 or the response has no validator to compare; taken as resolved); mismatch and no_response (no headers, no payload).
     """
     tag = F.regexp_replace(F.trim(field(F.col("headers"), "etag")), "^[Ww]/", "")
-    known = records.select(
+    # stored, so that records are parsed once and filters work on plain columns
+    known = materialize(records.select(
         "record_id", canonical_url(F.col("uri")).alias("url"), F.unix_micros("date").alias("at"), "headers", "payload",
         tag.alias("tag"), F.trim(field(F.col("headers"), "last-modified")).alias("modified"),
         F.coalesce((F.lower("warc_type") == "response") & (F.col("status") == 200), F.lit(False)).alias("full"),
         F.coalesce(
             (F.lower("warc_type") == "revisit") & ((F.col("profile") == NOT_MODIFIED) | (F.col("status") == 304)), F.lit(False)
         ).alias("revisit"),
-    )
+    ))
     # what the headers of a 304 may replace travels with the row; headers and bodies of responses do not
     allowed = F.filter(F.coalesce("headers", F.array().cast(_HEADERS)), lambda h: F.lower(h["name"]).isin(*PERMITTED))
     narrow = known.filter("full or revisit").withColumn("row", F.when(F.col("revisit"), F.struct(allowed.alias("fresh")))).select(
