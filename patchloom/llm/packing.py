@@ -6,6 +6,10 @@ has room, found in a segment tree over the remaining capacities. Equal pieces ar
 gives the same packing as one at a time. The histogram and the plan have a size that the capacity bounds, whatever
 the input; pieces find their places in parallel by their rank among those of their length.
 
+`place` packs all items at once, so its sequences follow the lengths. `place_in_order` keeps an order that the items have,
+such as that of a mix: it packs best-fit within consecutive windows of WINDOW sequences' worth of tokens. Sequences of a window
+come after those of the windows before, and within it in the order of the items they begin with.
+
 Edge cases: a null text counts as empty and still yields its end id; rows are packed as they are, so repeated
 rows and repeated or null ids are packed once per row; an empty table gives an empty result. In `place`, a
 length that is null, below 1 or above the capacity has no place (null sequence_id and offset).
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,17 +34,21 @@ from patchloom.llm.tokens import BLANK_LEADS, encoder
 
 CAPACITY = 1024
 END_ID = 2
+#: Sequences' worth of tokens that `place_in_order` packs together.
+WINDOW = 4096
+#: Rows of a file, and of a task, that `in_file_order` can number.
+FILE_ROWS = 1 << 40
 
 PIECES = "doc_id long, piece int, start long, length long, tokens binary"
 
 
 def tokenized_pieces(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-    blank: str = BLANK_LEADS,
+    blank: str = BLANK_LEADS, order: str | None = None,
 ) -> DataFrame:
     """Pieces of at most `capacity` ids per document; only the first piece of a document may be shorter.
 
-    `tokens` holds the ids as little-endian unsigned 32-bit integers.
+    `order` names a column of longs that goes along. `tokens` holds the ids as little-endian unsigned 32-bit integers.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,12 +66,31 @@ def tokenized_pieces(
             tokens = [raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), (begin + length).tolist())]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start),
-                 pa.array(length), pa.array(tokens, pa.binary())],
-                names=["doc_id", "piece", "start", "length", "tokens"],
+                 pa.array(length), pa.array(tokens, pa.binary()), *(c.take(pa.array(doc)) for c in batch.columns[2:])],
+                names=["doc_id", "piece", "start", "length", "tokens", *along],
             )
 
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return narrow.mapInArrow(cut, PIECES)
+    along = [order] if order else []
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *along)
+    return narrow.mapInArrow(cut, ", ".join([PIECES, *(f"`{c}` long" for c in along)]))
+
+
+def in_file_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text and _order of `docs`: by the number of the part file that Spark wrote, then by the row in it.
+
+    Spark reads large files first and splits them, so only files know the order in which rows were written. Rows that don't
+    come straight from files are in the order of their partitions.
+    """
+    named = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    part = F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, '^part-([0-9]+)', 1) as long)"), F.lit(0))
+    filed = docs.select(*named, (part * FILE_ROWS + F.col("_metadata.row_index")).alias("_order"))
+    try:
+        filed.schema  # resolves _metadata
+    except AnalysisException:
+        # partition in the upper bits, row in the lower 33
+        at = F.monotonically_increasing_id()
+        return docs.select(*named, (F.shiftright(at, 33) * FILE_ROWS + at % (1 << 33)).alias("_order"))
+    return filed
 
 
 class CapacityTree:
@@ -195,6 +223,54 @@ def place(items: DataFrame, length: str = "length", capacity: int = CAPACITY) ->
     return placed.mapInArrow(assign, out)
 
 
+def place_in_order(items: DataFrame, order: str, length: str = "length", capacity: int = CAPACITY, window: int = WINDOW) -> DataFrame:
+    """`items` with sequence_id and offset, packed best-fit decreasing within consecutive windows of the column `order`.
+
+    `order` holds longs as `in_file_order` makes them: a part, and the row within it. Items of equal order follow by doc_id
+    and piece. Lengths are from 1 to the capacity.
+    """
+    kept = items.columns
+    stored = materialize(items.withColumn("_bf_part", F.floor(F.col(order) / FILE_ROWS).cast("long")))
+    sums = stored.groupBy("_bf_part").agg(F.sum(length).alias("n"))  # a row per part file
+    earlier = Window.orderBy("_bf_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select("_bf_part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_bf_begin"))
+    within = Window.partitionBy("_bf_part").orderBy(order, "doc_id", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(length).over(within), F.lit(0))
+    placed_at = stored.withColumn("_bf_at", inside).join(begins, "_bf_part").withColumn("_bf_at", F.col("_bf_at") + F.col("_bf_begin"))
+    windowed = placed_at.select(
+        *(F.col(f"`{c}`") for c in kept), "_bf_at", F.floor(F.col("_bf_at") / (window * capacity)).cast("long").alias("_bf_window")
+    )
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_bf_at")
+        size = table.column(length).to_numpy().astype(np.int64)
+        plan = best_fit_plan({int(s): int(n) for s, n in zip(*np.unique(size, return_counts=True))}, capacity)
+        by_size = np.argsort(size, kind="stable")
+        rank = np.empty(len(size), np.int64)
+        rank[by_size] = np.arange(len(size)) - np.searchsorted(size[by_size], size[by_size])
+        runs = plan[:, 0] * (1 << 44) + plan[:, 1]
+        plan, runs = plan[np.argsort(runs)], np.sort(runs)
+        _, ranks, firsts, pers, begins = plan[np.searchsorted(runs, size * (1 << 44) + rank, side="right") - 1].T
+        made = firsts + (rank - ranks) // pers
+        offset = begins + (rank - ranks) % pers * size
+        number = np.empty(int(made.max()) + 1, np.int64)  # in the order of the items that begin a sequence
+        leads = made[offset == 0]
+        number[leads] = np.arange(len(leads))
+        out = table.select([*kept, "_bf_window"])
+        return out.append_column("_bf_own", pa.array(number[made])).append_column("offset", pa.array(offset))
+
+    out = T.StructType([
+        *items.schema, T.StructField("_bf_window", T.LongType()), T.StructField("_bf_own", T.LongType()), T.StructField("offset", T.LongType())
+    ])
+    packed = materialize(windowed.groupBy("_bf_window").applyInArrow(pack, out))
+    numbers = packed.groupBy("_bf_window").agg((F.max("_bf_own") + 1).alias("n"))  # a row per window
+    past = Window.orderBy("_bf_window").rowsBetween(Window.unboundedPreceding, -1)
+    bases = numbers.select("_bf_window", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("_bf_base"))
+    return packed.join(bases, "_bf_window").select(
+        *(F.col(f"`{c}`") for c in kept), (F.col("_bf_base") + F.col("_bf_own")).alias("sequence_id"), "offset"
+    )
+
+
 def sequences(placed: DataFrame) -> DataFrame:
     """The packed sequences themselves from pieces that still have their tokens: sequence_id, length, tokens."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "tokens")))  # a sequence holds `capacity` pieces at most
