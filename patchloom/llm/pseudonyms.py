@@ -6,7 +6,8 @@ So a card number stays a valid card number of the same length, a date a date, an
 in all documents and in all spellings of a format, while without the key nothing leads back.
 
 Kinds: card (check digit), iban (check digits), phone, ssn, ip, date (1900 to 2099), email (letters and digits of the local part).
-Matches are taken leftmost first; at one place in this order of kinds.
+Matches are taken leftmost first; at one place in this order of kinds. Cards and IBANs are also found inside longer runs of groups,
+such as a card with its expiry or an IBAN before a word in capitals.
 
 Edge cases: a null text stays null and has no spans; rows are kept as they are (null, repeated ids too); an empty table gives an
 empty result. Spans are code points of the old text, ends exclusive.
@@ -19,7 +20,7 @@ import functools
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -197,6 +198,72 @@ _FINDERS = (
         r"(?<![\w./-])(?:(?P<year>[0-9]{4})(?P<sign>[-/.])(?P<month>[0-9]{1,2})(?P=sign)(?P<day>[0-9]{1,2})|(?P<first>[0-9]{1,2})(?P<mark>[-/.])(?P<second>[0-9]{1,2})(?P=mark)(?P<late>[0-9]{4}))(?![\w-]|[./][0-9])", re.A), _date),
 )
 _DIGIT = re.compile(r"[0-9]")
+_PART = re.compile(r"[A-Z0-9 -]+", re.A)
+_GROUPS = re.compile(r"(?<![\w.+-])[0-9]+(?:[ -][0-9]+)*(?!\w)", re.A)
+_GROUP = re.compile(r"[0-9]+")
+
+#: Characters of an IBAN by country.
+_IBAN_LENGTHS = {k: int(n) for k, n in (x.split(":") for x in (
+    "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 "
+    "EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 "
+    "JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 MT:31 MU:30 NI:28 NL:18 "
+    "NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 "
+    "TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20").split())}
+
+
+def _is_card_layout(sizes: list[int]) -> bool:
+    """Unbroken, in fours with a shorter last group, or 4-6-5 and 4-6-4."""
+    fours = all(n == 4 for n in sizes[:-1]) and sizes[-1] <= 4
+    return 13 <= sum(sizes) <= 19 and (len(sizes) == 1 or fours or sizes in ([4, 6, 5], [4, 6, 4]))
+
+
+def _inner_cards(text: str, held: list[tuple[int, int]], key: bytes) -> Iterator[tuple[int, int, str]]:
+    """Cards that begin and end with groups inside a longer run of groups; the longest at each start, from left to right."""
+    for run in _GROUPS.finditer(text):
+        if run.end() - run.start() < 13:
+            continue
+        groups = [g.span() for g in _GROUP.finditer(text, *run.span())]
+        at = 0
+        while at < len(groups):
+            for upto in range(min(at + 5, len(groups)), at, -1):  # 19 digits are five groups at most
+                start, end = groups[at][0], groups[upto - 1][1]
+                marks = {text[b] for _, b in groups[at : upto - 1]}
+                if len(marks) > 1 or not _is_card_layout([b - a for a, b in groups[at:upto]]):
+                    continue
+                if any(start < b and a < end for a, b in held):
+                    continue
+                if (new := _card(_PART.fullmatch(text, start, end), key)) is not None:
+                    yield start, end, new
+                    at = upto - 1
+                    break
+            at += 1
+
+
+def _ibans(text: str, pattern: re.Pattern, key: bytes) -> Iterator[tuple[int, int, str]]:
+    """Each IBAN by its country's length, else the whole match or one of its group ends; after none, from the next group on."""
+    at = 0
+    while m := pattern.search(text, at):
+        places = [k for k in range(*m.span()) if text[k] != " "]
+        size = _IBAN_LENGTHS.get(m.group()[:2], 0)
+        ends = [places[size - 1] + 1] if 0 < size <= len(places) else []
+        ends += [m.end(), *([] if size else [k for k in range(m.end() - 1, m.start(), -1) if text[k] == " "])]
+        at = m.start() + 1
+        for end in ends:
+            if end < len(text) and (text[end].isalnum() and text[end].isascii() or text[end] == "_"):
+                continue
+            if (new := _iban(_PART.fullmatch(text, m.start(), end), key)) is not None:
+                yield m.start(), end, new
+                at = end
+                break
+
+
+def _matches(kind: str, pattern: re.Pattern, name: Callable, text: str, key: bytes) -> list[tuple[int, int, str]]:
+    if kind == "iban":
+        return list(_ibans(text, pattern, key))
+    found = [(m.start(), m.end(), new) for m in pattern.finditer(text) if (new := name(m, key)) is not None]
+    if kind == "card":
+        found += list(_inner_cards(text, [(a, b) for a, b, _ in found], key))
+    return found
 
 
 def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
@@ -206,9 +273,7 @@ def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     for rank, (kind, pattern, name) in enumerate(_FINDERS):
         if not digits and kind != "email" or kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            if (new := name(m, key)) is not None:
-                found.append((m.start(), rank, m.end(), kind, new))
+        found += [(start, rank, end, kind, new) for start, end, new in _matches(kind, pattern, name, text, key)]
     kept, upto = [], 0
     for start, _, end, kind, new in sorted(found):
         if start >= upto:

@@ -76,3 +76,15 @@ def test_documents(documents):
     assert P.pseudonymise(documents([]), KEY).count() == 0
     with pytest.raises(ValueError):
         P.pseudonymise(documents([]), b"short")
+
+
+def test_valid_numbers_inside_longer_matches():
+    card, pl, es = "4111 1111 1111 1111", "PL61109010140000071219812874", "ES91 2100 0418 4502 0005 1332"
+    for text, kind, inner in [
+        (f"{card} 123", "card", card), (f"{card} 12/27", "card", card), (f"{card.replace(' ', '-')}-1234567", "card", card.replace(" ", "-")),
+        ("4111111111111111 123", "card", "4111111111111111"), (f"12 {card} 99", "card", card), ("3782 822463 10005 1234", "card", "3782 822463 10005"),
+        (f"{pl} BANK", "iban", pl), (f"{es} PLEASE", "iban", es), (f"AB12 {es}", "iban", es), (f"{es} {pl}", "iban", es),
+    ]:
+        spans = {(text[a:b], k) for a, b, k, _ in P.find(text, KEY)}
+        assert (inner, kind) in spans and inner not in new(text), text
+    assert [k for _, _, k, _ in P.find(f"{es} {pl}", KEY)] == ["iban", "iban"]
