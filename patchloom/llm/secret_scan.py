@@ -6,13 +6,16 @@ looks like a private or public key, a length-prefixed SSH key, or a signed token
 algorithm. Base spans always stay; the method only adds spans.
 
 Edge cases: a null text counts as empty; rows are kept as they are (null, repeated ids too); an empty table gives an
-empty result. Offsets are code points, ends exclusive. One run is decoded as a whole, however long.
+empty result. Offsets are code points, ends exclusive. Runs go on over line ends, plain or escaped; a key may start anywhere in
+a run, so also behind a path, and ends with one of its lines.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -33,9 +36,15 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
+#: Base64 lines, the first not short; line ends may be escaped, as in JSON and string literals.
+_LINES = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}(?:[ \t]*(?:(?:\\+[rn]|[\r\n])[ \t]*)+[A-Za-z0-9+/_-]+={0,2})*")
+_LINE = re.compile(r"(?:(?<=\\r)|(?<=\\n)|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]+={0,2}")
+#: What the base64 of a key starts with: a DER sequence, the length of an SSH type, the name of the newer SSH file.
+_KEY_START = re.compile(r"M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE")
 _LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})(?=(\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*))")
+#: Base64 that starts with a brace, or with white space before one.
+_HEADER_START = re.compile(r"e[w-z0-9_-]|[CDI][A-Za-z0-9_-]")
 
 #: Algorithms of signed tokens.
 _ALGORITHMS = {
@@ -144,6 +153,70 @@ def _kind(data: bytes | None) -> str | None:
     return "der" if is_der_key(data) else "ssh" if is_ssh_key(data) else None
 
 
+def _key_sizes(data: bytes) -> list[int]:
+    """How many bytes a key that starts like `data` can have."""
+    if data[:1] == b"\x30":
+        more = data[1] & 0x7F if data[1] & 0x80 else 0
+        if more > 4 or len(data) < 2 + more:
+            return []
+        return [2 + more + (int.from_bytes(data[2 : 2 + more], "big") if more else data[1])]
+    sizes, at = [], 0
+    if data.startswith(_SSH_MAGIC):
+        at, strings = len(_SSH_MAGIC), 3
+        while at + 4 <= len(data):
+            if not strings:  # the number of keys, then each public one, then the private ones
+                strings, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4
+            for _ in range(min(strings, 9)):
+                at += 4 + int.from_bytes(data[at : at + 4], "big")
+            if sizes:
+                return [at]
+            sizes, strings = [at], 0
+        return []
+    while at + 4 <= len(data) and len(sizes) < 8:
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        sizes.append(at)
+    return sizes[1:]
+
+
+def _keys_in_lines(text: str, block: re.Match) -> Iterator[tuple[int, int, str]]:
+    """Keys that start anywhere in a run of base64 lines and end with one of them, from left to right."""
+    lines = [(m.start(), m.start() + len(m.group().rstrip("=")), m.end()) for m in _LINE.finditer(text, *block.span())]
+    joined = "".join(text[a:b] for a, b, _ in lines)
+    begins = list(itertools.accumulate((b - a for a, b, _ in lines), initial=0))  # of the lines, within `joined`
+    upto = 0
+    for m in _KEY_START.finditer(joined):
+        at = m.start()
+        if at < upto:
+            continue
+        head = _decoded(joined[at : at + 40][: (len(joined[at : at + 40]) // 4) * 4]) or b""
+        if m.group() == "AAAA" and not any(head[4:].startswith(t) for t in _SSH_TYPES) or len(head) < 2:
+            continue
+        whole = head if head[:1] == b"\x30" else _decoded(joined[at : at + (len(joined) - at) // 4 * 4]) or b""
+        ends = {at + -(-4 * size // 3) for size in _key_sizes(whole)}
+        first = bisect.bisect_right(begins, at) - 1
+        for end in sorted(ends, reverse=True):
+            last = bisect.bisect_left(begins, end) - 1
+            if last < first or last >= len(lines) or begins[last + 1] != end:  # a key ends with a line
+                continue
+            if kind := _kind(_decoded(joined[at:end])):
+                yield lines[first][0] + at - begins[first], lines[last][2], kind
+                upto = end
+                break
+
+
+def _tokens(text: str) -> Iterator[tuple[int, int, str]]:
+    """Signed tokens: a header, which may be glued to what is before it, and two parts more."""
+    for m in _JWT.finditer(text):
+        header = m[1]
+        for start in itertools.chain([0], (h.start() for h in _HEADER_START.finditer(header))):
+            size = min(len(header) - start, 8) // 4 * 4
+            if size and (_decoded(header[start : start + size]) or b"").lstrip(b" \t\r\n")[:1] not in (b"{", b""):
+                continue
+            if is_token_header(header[start:]):
+                yield m.start() + start, m.end(2), "jwt"
+                break
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     found = [(m.start(), m.end(), "assign") for m in _ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if m.end() - m.start() >= 20]
@@ -158,21 +231,18 @@ def added_spans(text: str) -> list[tuple[int, int, str]]:
         for m in _PEM.finditer(text):
             if kind := _kind(_decoded("".join(m[2].split()))):
                 found.append((m.start(), m.end(), kind))
-    if "eyJ" in text:
-        for m in _JWT.finditer(text):
-            if is_token_header(m.group().split(".")[0]):
-                found.append((m.start(), m.end(), "jwt"))
+    found += _tokens(text)
     held = [(a, b) for a, b, _ in found]
-    for m in _BASE64.finditer(text):
+    for m in _LINES.finditer(text):
         if any(a <= m.start() < b for a, b in held):
             continue
-        if kind := _kind(_decoded(m.group())):
-            found.append((m.start(), m.end(), kind))
-            continue
-        for h in _LONG_HEX.finditer(m.group()):
+        keys = list(_keys_in_lines(text, m))
+        found += keys
+        for h in _LONG_HEX.finditer(text, *m.span()):
             digits = h.group()[: len(h.group()) // 2 * 2]
-            if kind := _kind(bytes.fromhex(digits)):
-                found.append((m.start() + h.start(), m.start() + h.start() + len(digits), kind))
+            inside = any(a <= h.start() < b for a, b, _ in keys)
+            if not inside and (kind := _kind(bytes.fromhex(digits))):
+                found.append((h.start(), h.start() + len(digits), kind))
     return found
 
 
