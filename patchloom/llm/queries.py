@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import ann, captures, mixing, ordinal, packing, pseudonyms, rans, secret_scan, simhash, warc, weak_rules
+from patchloom.llm import ann, captures, conversations, mixing, ordinal, packing, pseudonyms, rans, secret_scan, simhash, warc, weak_rules
 from patchloom.llm.tables import table
 from patchloom.session import shared_dir
 
@@ -118,3 +118,10 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ordinal.fit(ordinal.rated_documents(docs, labels), ordinal.GRADES)
     scored = ordinal.score(docs, model, ["doc_id"], ordinal.GRADES - 1)
     return scored.withColumn("kept", F.col("tail_probability") >= ordinal.KEPT_FROM)
+
+
+@query
+def op13_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every damaged conversation and its cheapest repair."""
+    damaged = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.digests(conversations.repair(damaged, present="present"))
