@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import ann, captures, conversations, mixing, ordinal, packing, pseudonyms, rans, secret_scan, simhash, warc, weak_rules
+from patchloom.llm import ann, captures, conversations, mixing, ordinal, packing, phrases, pseudonyms, rans, secret_scan, simhash, warc, weak_rules
 from patchloom.llm.tables import table
 from patchloom.session import shared_dir
 
@@ -125,3 +125,39 @@ def op13_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every damaged conversation and its cheapest repair."""
     damaged = conversations.damaged(table(spark, sf_dir, "conversations"))
     return conversations.digests(conversations.repair(damaged, present="present"))
+
+
+@query
+def op11_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in an exact ten-word window of a benchmark item, and the items."""
+    index = phrases.build(table(spark, sf_dir, "documents"))
+    found = phrases.contamination(index, phrases.search(index, table(spark, sf_dir, "benchmark")))
+    listed = F.sha2(F.encode(F.array_join("item_ids", ","), "utf-8"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", listed.alias("items_sha256"), "contaminated")
+
+
+_TERMS_SQL = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+ORACLES["op11_positional_index"] = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS_SQL} AS words FROM documents),
+items AS (SELECT item_id, {_TERMS_SQL} AS words FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(words), 10) AS size, array_to_string(words[k : k + least(len(words), 10) - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS k FROM items WHERE len(words) > 0)
+),
+grams AS (
+  SELECT r, size, k, array_to_string(words[k : k + size - 1], ' ') AS gram
+  FROM (SELECT r, words, size, unnest(range(1, len(words) - size + 2)) AS k
+        FROM docs, (SELECT DISTINCT size FROM windows) WHERE len(words) >= size)
+),
+hits AS (SELECT r, item_id, k, size FROM grams JOIN windows USING (size, gram)),
+places AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + size)) AS place FROM hits) GROUP BY r),
+named AS (
+  SELECT r, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS name FROM hits) GROUP BY r
+)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN places USING (r) LEFT JOIN named USING (r)
+"""
