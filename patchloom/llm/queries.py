@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patchloom.llm import ann, captures, conversations, mixing, ordinal, packing, phrases, pseudonyms, rans, secret_scan, simhash, warc, weak_rules
+from patchloom.llm import ann, captures, conversations, mixing, ordinal, packing, phrases, pseudonyms, ranked, rans, secret_scan, simhash, warc, weak_rules
 from patchloom.llm.tables import table
 from patchloom.session import shared_dir
 
@@ -161,3 +161,35 @@ SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_it
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN places USING (r) LEFT JOIN named USING (r)
 """
+
+
+@query
+def op12_fp_tree_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 documents of the highest lexical score for each benchmark item."""
+    return ranked.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op12_fp_tree_ranking"] = f"""
+WITH docs AS (
+  SELECT r, doc_id, words, len(words) AS n FROM (SELECT row_number() OVER () AS r, doc_id, {_TERMS_SQL} AS words FROM documents)
+  WHERE len(words) > 0
+),
+totals AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM docs),
+items AS (SELECT q, item_id, term, count(*)::BIGINT AS times FROM (
+  SELECT row_number() OVER () AS q, item_id, unnest({_TERMS_SQL}) AS term FROM benchmark) GROUP BY ALL),
+counts AS (
+  SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(words) AS term FROM docs)
+  WHERE term IN (SELECT term FROM items) GROUP BY ALL
+),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM counts, totals GROUP BY term, n_docs
+),
+scored AS (
+  SELECT q, item_id, doc_id, r, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items JOIN counts USING (term) JOIN weights USING (term) JOIN docs USING (r), totals GROUP BY q, item_id, doc_id, r
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 20
+"""
