@@ -819,6 +819,7 @@ oracle("t1_event_reviews", ["classified", "merged"], """
     CASE WHEN total_chunks IS NOT NULL THEN false END AS classifier_loaded
   FROM classified c LEFT JOIN per_pr p ON p.pr_id = repo_name || '-' || (pr_number % 25)
   WHERE status = 'accepted'""")
+oracle("t1_event_reports", ["reports"], "SELECT * FROM reports")
 ADMITTED = "SELECT user_id::VARCHAR AS client, event_id AS request_id, admitted FROM walk"
 oracle("t2_admissions", ["walk"], ADMITTED)
 oracle("t2_admission_stream", ["walk"], ADMITTED)

@@ -15,8 +15,8 @@ from patchloom.operators.features import chunk_features, vector_array, vector_co
 from patchloom.plans import collect, review, snippets
 from patchloom.session import materialize, shared_dir
 from patchloom.sources import fixtures as X
-from patchloom.sources import landed, sinks
-from patchloom.streaming import admission, reviews
+from patchloom.sources import batches, landed, sinks
+from patchloom.streaming import admission, answers, reviews
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -219,8 +219,12 @@ def k2_review_comments(spark, sf):
         "pr_id", F.concat(F.lit("org/"), F.substring_index("pr_id", "-", 1)).alias("repo"),
         F.concat(F.lit("sha-"), "pr_id").alias("head_sha"),
     )
-    sinks.write_comments(findings.review_comments(_grouped(spark, sf)), prs, path)
-    return spark.read.parquet(path)
+    half = F.pmod(F.xxhash64("pr_id"), F.lit(2))
+    comments = materialize(findings.review_comments(_grouped(spark, sf)))
+    sinks.write_comments(comments.limit(0), prs, path, 0)  # an earlier run without findings, then two batches
+    for batch in (0, 1):
+        sinks.write_comments(comments.filter(half == batch), prs.filter(half == batch), path, batch + 1)
+    return sinks.read_comments(spark, path)
 
 
 @query
@@ -247,7 +251,7 @@ def k3_saved_model(spark, sf):
 def k4_run_reports(spark, sf):
     path = _new_dir(spark, "reports")
     sinks.write_reports(_conclusion(spark, sf).reports, path)
-    return _flat_reports(spark.read.parquet(path))
+    return _flat_reports(sinks.read_reports(spark, path))
 
 
 # --- filters and routes ------------------------------------------------------------------------
@@ -741,6 +745,61 @@ def t1_event_reviews(spark, sf):
     return spark.read.parquet(f"{out}/reports").drop("batch_id")
 
 
+@query
+def t1_event_reports(spark, sf):
+    """Events and answers land apart; reports come out as reviews are answered in full or their time is up.
+
+    Files whose answer is a timeout in the batch form get none here. The last answer, a day later, is for no review and moves the watermark.
+    """
+    asked_at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("pr_id"), F.lit(600)))
+    prs = X.reviewed_prs(spark, sf).withColumn("head_sha", F.concat(F.lit("sha-"), "pr_id")).withColumn("at", asked_at)
+    number = F.substring_index("pr_id", "-", -1).cast("bigint") + 1  # an event has no number 0
+    payload = F.to_json(F.struct(
+        F.lit("opened").alias("action"), F.struct(number.alias("number"), F.struct(F.col("head_sha").alias("sha")).alias("head")).alias("pull_request"),
+        F.struct(F.substring_index("pr_id", "-", 1).alias("name"), F.struct(F.lit("org").alias("login")).alias("owner")).alias("repository"),
+    ))
+    deliveries, replies, store, out = (_new_dir(spark, n) for n in ("deliveries", "replies", "asked", "reports"))
+    prs.select(
+        F.xxhash64("pr_id").alias("delivery_id"), F.lit(C.REVIEWED_EVENT).alias("event_type"), payload.alias("payload"), "at"
+    ).write.json(deliveries)
+    arrived = X.responses(spark, sf).filter(F.col("status") == "ok").join(prs.select("pr_id", "head_sha", "at"), "pr_id")
+    reply = arrived.select("pr_id", "head_sha", (F.col("at") + F.expr("INTERVAL 5 MINUTES")).alias("at"), "file_path", "status", "response_text")
+    reply.write.parquet(replies)
+    closing = spark.range(1).select(
+        F.lit("").alias("pr_id"), F.lit("").alias("head_sha"), F.timestamp_seconds(F.lit(1_700_086_400)).alias("at"),
+        F.lit("").alias("file_path"), F.lit("ok").alias("status"), F.lit("").alias("response_text"),
+    )
+
+    def triage(wanted):
+        def of(rows):
+            return rows.join(wanted, "pr_id", "left_semi")
+
+        high = materialize(of(_reviewed_high(spark, sf)))
+        routes = materialize(context.file_routes(high))
+        files = context.reviewed_files(high, routes)
+        return review.Triage(
+            prs=of(X.reviewed_prs(spark, sf)), scored=high, routes=routes, files=files, prompts=files.select("pr_id", "file_path"),
+            triage_counts=scoring.triage_counts(of(X.reviewed_chunks(spark, sf)), True),
+        )
+
+    events_in = reviews.read_events(spark, deliveries, 4, f"{reviews.EVENT_SCHEMA}, at timestamp")
+    name = lambda: F.concat_ws("-", "repo_name", (F.col("pr_number") - 1).cast("string"))
+    answers.asking_stream(events_in, triage, name, store, _new_dir(spark, "progress")).awaitTermination()
+
+    def follow():
+        closed = answers.closed_reviews(
+            answers.read_asked(spark, store), spark.readStream.schema(answers.ANSWERS).option("maxFilesPerTrigger", 4).parquet(replies), 3600
+        )
+        with answers.list_store(spark):
+            answers.report_stream(closed, store, out, progress).awaitTermination()
+
+    progress = _new_dir(spark, "progress")
+    follow()
+    closing.write.mode("append").parquet(replies)
+    follow()  # goes on from where it stopped
+    return _flat_reports(batches.read_current(spark, out, "reports"))
+
+
 @query
 def t2_admissions(spark, sf):
     return events.admissions(X.requests(spark, sf), DAY, 5).select("client", "request_id", "admitted")

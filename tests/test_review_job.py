@@ -57,7 +57,7 @@ def test_job(spark, tmp_path):
     assert reports["p3"].status == reports["p4"].status == "error"
     assert last.summaries.first().summary.startswith("Reviewed 3 chunks in 2 files.\nHigh severity: 1.")
     sinks.write_comments(last.comments, first.prs, str(tmp_path / "c"))
-    assert spark.read.parquet(str(tmp_path / "c")).select("repo", "head_sha").first() == ("r", "s1")
+    assert sinks.read_comments(spark, str(tmp_path / "c")).select("repo", "head_sha").first() == ("r", "s1")
 
 
 def test_stream_runs_the_job_per_batch(spark, tmp_path):
