@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from patchloom.functions import constants as C
 from patchloom.functions.text import stem
-from patchloom.operators import context, diffs, events, findings, history, scoring, training
+from patchloom.operators import context, diffs, events, findings, history, scoring, segments, training
 from patchloom.operators.features import chunk_features, vector_array, vector_columns
 from patchloom.plans import collect, review, snippets
 from patchloom.session import materialize, shared_dir
@@ -344,6 +344,27 @@ def d6_merged_chunks(spark, sf):
     return _chunk_text(_merged(spark, sf))
 
 
+@query
+def d4_segmented_lines(spark, sf):
+    """Line numbers from blocks of 64 lines."""
+    found = segments.pieces(segments.cut(_diffs(spark, sf), ["pr_id"], 64), ["pr_id"])
+    return segments.new_side_lines(found, ["pr_id"])
+
+
+@query
+def d5_file_chunks(spark, sf):
+    """Chunks of diffs that land as files, a folder per PR, read by byte ranges."""
+    path = _new_dir(spark, "diffs")
+    _diffs(spark, sf).select("pr_id", "diff").write.partitionBy("pr_id").text(path)
+    return _chunk_text(segments.parse_blocks(landed.read_diff_blocks(spark, path, 64, terminated=True), ["pr_id"]))
+
+
+@query
+def d6_segmented_chunks(spark, sf):
+    """Merged chunks from blocks of 64 lines."""
+    return _chunk_text(segments.review_blocks(segments.cut(_diffs(spark, sf), ["pr_id"], 64), ["pr_id"]))
+
+
 @query
 def chunk_export(spark, sf):
     return diffs.chunk_export(_merged(spark, sf), ["pr_id"]).select(

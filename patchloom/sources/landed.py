@@ -25,6 +25,37 @@ def read_diff_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_diff_blocks(spark: SparkSession, path: str, lines: int = 4096, terminated: bool = False) -> DataFrame:
+    """Diff files as blocks (pr_id, block, text) of consecutive lines; a long file is read by many tasks.
+
+    The PR is the name of the file, or of its folder ``pr_id=...``. Spark cuts files at byte ranges and starts each at a line; a line's
+    place is its range's first byte plus its number in the range, which grows along the file. ``terminated``: the newline at a
+    file's end only ends its last line; otherwise an empty line follows it, as in the text of the whole file.
+    """
+    meta = F.col("_metadata")
+    read = spark.read.text(path, lineSep="\n").select(
+        meta["file_path"].alias("file"), meta["file_size"].alias("size"), meta["file_block_start"].alias("first"),
+        F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"),
+    )
+    ranges = read.groupBy("file", "first").agg(
+        F.min("id").alias("base"), F.count("*").alias("n"), F.sum(F.octet_length("line") + 1).alias("bytes"), F.max("size").alias("size")
+    )
+    placed = read.select("file", "first", "id", "line").join(ranges.select("file", "first", "base"), ["file", "first"]).select(
+        "file", (F.col("first") + F.col("id") - F.col("base")).alias("at"), "line"
+    )
+    if not terminated:  # every line of such a file has its newline
+        ended = ranges.groupBy("file").agg(F.sum("bytes").alias("bytes"), F.max("size").alias("size")).filter("bytes = size")
+        placed = placed.unionByName(ended.select("file", F.col("size").alias("at"), F.lit("").alias("line")))
+    listed = F.array_sort(F.collect_list(F.struct("at", "line")))
+    named = F.coalesce(
+        F.nullif(F.regexp_extract("file", r"/pr_id=([^/]*)/[^/]*$", 1), F.lit("")), F.regexp_extract("file", r"([^/]*?)(?:\.diff)?$", 1)
+    )
+    blocks = placed.groupBy("file", F.floor(F.col("at") / lines).alias("block")).agg(listed.alias("listed"))
+    return blocks.select(
+        F.url_decode(named).alias("pr_id"), "block", F.array_join(F.transform("listed", lambda l: l["line"]), "\n").alias("text")
+    )
+
+
 def with_diffs(diffs: DataFrame) -> DataFrame:
     return diffs.filter(F.length("diff") > 0)
 
