@@ -838,15 +838,22 @@ def t2_admission_stream(spark, sf):
     late = requests.withColumn("seen", seconds + F.col("request_id") % 4 * 6 * 3600)
     low, high = late.agg(F.min("seen"), F.max("seen")).first()
     step = (high - low) / 5 + 1
-    arriving = late.withColumn("part", F.floor((F.col("seen") - low) / step))
+    arriving = late.withColumn("part", F.floor((F.coalesce("seen", F.lit(low)) - low) / step))
     closing = requests.agg((F.max("ts") + F.expr("INTERVAL 9 DAYS")).alias("ts")).select(
         F.lit("").alias("client"), "ts", F.lit(-1).cast("bigint").alias("request_id")
     )
-    for part in range(5):  # in the order in which they land
-        arriving.filter(F.col("part") == part).drop("seen", "part").coalesce(1).write.mode("append").parquet(landing)
+
+    def take():
+        stream = spark.readStream.schema(requests.schema).parquet(landing)
+        with answers.list_store(spark):
+            admission.admission_stream(stream, DAY, 5).writeStream.format("parquet").option(
+                "checkpointLocation", progress
+            ).trigger(availableNow=True).start(out).awaitTermination()
+
+    progress = _new_dir(spark, "progress")
+    for part in range(5):  # in the order in which they land, each written by all tasks
+        arriving.filter(F.col("part") == part).drop("seen", "part").write.mode("append").parquet(landing)
+        take()  # the stream stops and goes on
     closing.write.mode("append").parquet(landing)
-    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(landing)
-    admission.admission_stream(stream, DAY, 5).writeStream.format("parquet").option(
-        "checkpointLocation", _new_dir(spark, "progress")
-    ).trigger(availableNow=True).start(out).awaitTermination()
+    take()
     return spark.read.parquet(out).select("client", "request_id", "admitted")

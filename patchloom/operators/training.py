@@ -37,27 +37,29 @@ def labelled_commits(commits: DataFrame) -> DataFrame:
 
 def commit_samples(commits: DataFrame, commit_diffs: DataFrame) -> DataFrame:
     """One sample per chunk of a labelled commit, if the chunk is of a size worth learning from."""
-    with_diffs = commits_with_diffs(labelled_commits(commits), commit_diffs)
-    keys = ["repo", "sha", "committed_at", "label"]
-    return chunk_features(D.sample_sized(D.review_chunks(with_diffs, keys)))
+    return chunk_features(sample_chunks(commits_with_diffs(labelled_commits(commits), commit_diffs)))
 
 
-def within_cap(commits: DataFrame, samples: DataFrame, cap: int) -> DataFrame:
-    """Samples of each repository's newest commits, up to the commit that reaches twice the cap.
+def sample_chunks(labelled: DataFrame) -> DataFrame:
+    """Chunks of a size worth learning from, of labelled commits with their diffs."""
+    return D.sample_sized(D.review_chunks(labelled, ["repo", "sha", "committed_at", "label"]))
 
-    A crawl looks at 250 commits of a repository, so the running sum sees no more than that of any.
-    Commits are counted on their own; samples only join the result.
+
+def page_within_cap(page: DataFrame, reached: DataFrame, cap: int) -> tuple[DataFrame, DataFrame]:
+    """What of a page of commits still counts, and the samples each repository has then.
+
+    ``page`` has (repo, sha, place, n): commits in the order of ``place`` with their samples; ``reached`` has (repo, samples) of the
+    pages before. A repository takes commits up to the one that brings it to twice the cap. The sum runs over one page of
+    each repository.
     """
-    counts = samples.groupBy("repo", "sha").agg(F.count("*").alias("n"))
-    newest = Window.partitionBy("repo").orderBy(F.col("committed_at").desc(), F.col("sha"))
-    kept = (
-        commits.select("repo", "sha", "committed_at")
-        .join(counts, ["repo", "sha"])
-        .withColumn("before", F.sum("n").over(newest.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
-        .filter(F.col("before") < 2 * cap)
-        .select("repo", "sha")
-    )
-    return samples.join(kept, ["repo", "sha"], "left_semi")
+    in_order = Window.partitionBy("repo").orderBy("place", "sha")
+    so_far = page.join(reached, "repo", "left").withColumn("had", F.coalesce("samples", F.lit(0)))
+    kept = so_far.withColumn(
+        "before", F.col("had") + F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    ).filter(F.col("before") < 2 * cap)
+    taken = page.groupBy("repo").agg(F.sum("n").alias("n"))
+    after = reached.join(taken, "repo", "full").select("repo", (F.coalesce("samples", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("samples"))
+    return kept.select("repo", "sha"), after
 
 
 def collection_stats(samples: DataFrame) -> DataFrame:

@@ -43,12 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir(context.applicationId)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write a table into the shared folder and go on from it.
 
     That cuts the lineage, so a lost executor costs no recomputation, and as the table is columnar
-    each later use reads only the columns it needs.
+    each later use reads only the columns it needs; with `partition_by`, only the folders of the values it asks for.
     """
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 from collections import deque
 from collections.abc import Iterator
 
@@ -10,12 +9,66 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from patchloom.functions.constants import ADMISSION_CAP, ADMISSION_WINDOW_SECONDS
 from patchloom.operators.events import admit_in_order
 
 OUTPUT = "client string, request_id bigint, at bigint, admitted boolean"
+#: Requests that wait are kept by stretches of time, so many to a window; each is decided as a whole.
+STRETCHES = 16
+
+
+class _Admission(StatefulProcessor):
+    """One client: the requests that wait, a state entry for each stretch and batch, and at most ``cap`` admitted times.
+
+    A batch writes an entry with its own requests of a stretch and looks at no other, so what it writes does not grow with what
+    waits. A timer per stretch decides it once the watermark has passed its end.
+    """
+
+    def __init__(self, window_seconds: int, cap: int) -> None:
+        self.width, self.cap = window_seconds * 1_000_000, cap
+        self.stretch_ms = max(window_seconds * 1000 // STRETCHES, 1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "stretch bigint, entry bigint", "at array<bigint>, id array<bigint>")
+        self.admitted = handle.getValueState("admitted", "times array<bigint>")
+        self.entries = handle.getValueState("entries", "written bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came = pd.concat(list(rows))
+        entry = self.entries.get()[0] if self.entries.exists() else 0
+        for stretch, some in came.groupby(came["at"] // 1000 // self.stretch_ms, sort=True):
+            self.waiting.updateValue((int(stretch), entry), (some["at"].tolist(), some["request_id"].tolist()))
+            self.handle.registerTimer(max((int(stretch) + 1) * self.stretch_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        self.entries.update((entry + 1,))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        left = sorted(self.waiting.keys()) if self.waiting.exists() else []
+        ready = [k for k in left if (k[0] + 1) * self.stretch_ms <= now]
+        times = deque(self.admitted.get()[0] if self.admitted.exists() else ())
+        if ready:
+            held: list[tuple[int, int]] = []
+            for k in ready:
+                held += zip(*self.waiting.getValue(tuple(k)))
+                self.waiting.removeKey(tuple(k))
+            held.sort()
+            at = np.array([a for a, _ in held], np.int64)
+            verdicts = admit_in_order(at, times, self.width, self.cap)
+            yield pd.DataFrame({"client": key[0], "request_id": [r for _, r in held], "at": at, "admitted": verdicts})
+        while times and now * 1000 - times[0] >= self.width:
+            times.popleft()
+        if times:
+            self.admitted.update((list(times),))
+            self.handle.registerTimer(max((times[-1] + self.width) // 1000 + 1, now + 1))
+        elif len(ready) == len(left):  # nothing is left of the client
+            for state in (self.admitted, self.entries, self.waiting):
+                state.clear()
+        else:
+            self.admitted.clear()
 
 
 def admission_stream(
@@ -25,42 +78,16 @@ def admission_stream(
 ) -> DataFrame:
     """Streaming rows (client, request_id, at, admitted) from rows (client, request_id, ts).
 
-    The clock is event time. A request is held until the watermark, one window behind, has passed it: then no
-    earlier one can come any more, and requests are decided in the order (time, id) however they arrived. Rows later
-    than the watermark are dropped. The state of a client is what it holds back and at most ``cap`` admitted times,
-    and ends once the watermark has passed the last of them by a window.
+    The clock is event time. A request is held until the watermark, one window behind, has passed its stretch, a sixteenth of a window:
+    then no earlier one can come any more, and requests are decided in the order (time, id) however they arrived. Rows later
+    than the watermark are dropped. A client's state ends once the watermark has passed its last admission by a window. The stream
+    is started within ``answers.list_store``: its state has timers and a map.
     """
-    width = window_seconds * 1_000_000
     timed = (
         requests.withColumn("ts", F.col("ts").cast("timestamp"))
         .withWatermark("ts", f"{window_seconds} seconds")
         .withColumn("at", F.unix_micros("ts"))
     )
-
-    def admit(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        times, held = (deque(state.get[0]), list(zip(state.get[1], state.get[2]))) if state.exists else (deque(), [])
-        for batch in batches:
-            held += zip(batch["at"].tolist(), batch["request_id"].tolist())
-        held.sort()
-        passed = state.getCurrentWatermarkMs() * 1000
-        ready = bisect.bisect_left(held, (passed,))
-        verdicts = admit_in_order(np.array([at for at, _ in held[:ready]], np.int64), times, width, cap)
-        decided, held = held[:ready], held[ready:]
-        while times and passed - times[0] >= width:
-            times.popleft()
-        if held or times:
-            state.update((list(times), [at for at, _ in held], [key for _, key in held]))
-            next_ms = held[0][0] // 1000 + 1 if held else times[-1] // 1000 + window_seconds * 1000 + 1
-            state.setTimeoutTimestamp(max(next_ms, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if decided:
-            yield pd.DataFrame({
-                "client": key[0], "request_id": [r for _, r in decided], "at": [at for at, _ in decided], "admitted": verdicts,
-            })
-
-    return timed.groupBy("client").applyInPandasWithState(
-        admit, OUTPUT, "times array<bigint>, held_at array<bigint>, held_id array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
+    return timed.filter("at is not null").select("client", "ts", "at", "request_id").groupBy("client").transformWithStateInPandas(
+        _Admission(window_seconds, cap), OUTPUT, "append", "eventTime"
     )

@@ -51,6 +51,31 @@ def test_cap_keeps_the_commit_that_reaches_it(spark):
     assert max(counts.values()) == 2
 
 
+def test_diffs_behind_the_cap_are_not_parsed(spark):
+    """r1 has enough after its first page and r2 after its second; a third repository never has, and is read to its end."""
+    start, log, diffs = datetime(2024, 1, 1), [], []
+    for repo, chunks in (("r1", 2), ("r2", 1), ("r3", 0)):
+        for i in range(23):
+            sha = f"{repo}-{i:03d}"
+            log.append((repo, "a.py", start - timedelta(hours=i), sha, "fix it"))
+            hunks = [f"@@ -1 +{k * 100 + 1} @@\n+a = 1\n+b\n+c" for k in range(chunks)] or ["@@ -1 +1 @@\n+short"]
+            diffs.append((sha, "diff --git a/a.py b/a.py\n" + "\n".join(hunks)))
+    commits, table = spark.createDataFrame(log, COMMIT), spark.createDataFrame(diffs, "sha string, diff string")
+    parsed: list[int] = []
+    kept = collect.collected_samples(commits, table, cap=4, pages=4, page_commits=5, parsed=parsed)
+    assert parsed == [15, 10, 5, 5]
+    counts = {r.repo: r["count"] for r in kept.groupBy("repo").count().collect()}
+    assert counts == {"r1": 8, "r2": 8}  # the fourth commit of r1 reaches it
+    done: list[int] = []
+    collect.collected_samples(commits.filter("repo = 'r1'"), table, cap=4, pages=4, page_commits=5, parsed=done)
+    assert done == [5]
+
+
+def test_no_commits(spark):
+    commits, diffs = tables(spark)
+    assert collect.collected_samples(commits.limit(0), diffs).isEmpty()
+
+
 def test_crawl_and_sample(spark):
     commits, _ = tables(spark)
     assert landed.crawled_commits(commits, 10).count() == 20
