@@ -58,3 +58,56 @@ def test_large_group_and_empty_table(documents):
 def test_stage_within_the_pipeline(stages):  # noqa: F811
     (_, before, after, *_), _, _ = stages
     assert Counter(r.doc_id for r in after.collect()) == plain_kept([(r.doc_id, r.text) for r in before.collect()])
+
+
+def passage_texts(rng, n):
+    """Texts with one passage of 60 words in common and 22 of their own: none is a copy, many share a band key."""
+    passage = [f"p{k}" for k in range(60)]
+    return [(k, " ".join([*passage[:30], *(f"own{k}_{rng.random()}" for _ in range(22)), *passage[30:]])) for k in range(n)]
+
+
+def test_unlike_texts_with_a_passage(documents, monkeypatch):
+    """All stay, and the rows that are dealt to tasks grow with the texts, not with their pairs."""
+    rng, dealt = random.Random(8), []
+
+    def counted(classed, given=near_copies._dealt):
+        rows = given(classed)
+        dealt.append(rows.count())
+        return rows
+
+    monkeypatch.setattr(near_copies, "_dealt", counted)
+    for n in (500, 2000):
+        got = near_copies.unique_documents(documents(passage_texts(rng, n)).repartition(4))
+        assert got.count() == n
+    assert 0 < dealt[1] < 5 * dealt[0] and dealt[1] < 24 * 2000
+
+
+def test_blocks_of_a_run(documents, monkeypatch):
+    """Small blocks: classes of a run meet across all of them."""
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
+    rng = random.Random(2)
+    base = [f"w{k}" for k in range(120)]
+    rows = passage_texts(rng, 60)
+    for group in range(6):  # near copies of near copies, all around 0.8
+        words = list(base)
+        for at in rng.sample(range(120), 6 + group):
+            words[at] = f"g{group}_{at}"
+        for k in range(15):
+            edited = list(words)
+            for at in rng.sample(range(120), rng.choice([0, 1, 2, 3])):
+                edited[at] = f"e{rng.random()}"
+            rows.append((1000 + 100 * group + k, " ".join(edited)))
+    got = near_copies.unique_documents(documents(rows).repartition(4))
+    assert Counter(r.doc_id for r in got.collect()) == plain_kept(rows)
+
+
+def test_recall_just_above_the_least_similarity(documents):
+    """Pairs at 0.80 to 0.84: nearly all meet (one in 14,000 may not)."""
+    rng, rows = random.Random(6), []
+    for k in range(300):
+        words = [f"t{k}_{j}" for j in range(200)]
+        edited = list(words)
+        for at in (20, 70, 120, 170):  # 4 * 5 of 196 shingles change: 176 / 216 = 0.815
+            edited[at] = "x"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(edited))]
+    assert near_copies.unique_documents(documents(rows).repartition(4)).count() == 300
