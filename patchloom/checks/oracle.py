@@ -787,6 +787,12 @@ oracle("m4_collection_stats", ["samples"], """
   FROM samples GROUP BY ROLLUP (repo)""")
 oracle("m5_shuffled_samples", ["labelled"], """
   SELECT key, label, num_added_lines FROM labelled ORDER BY md5('42-' || key), key""")
+oracle("m5_sample_positions", ["labelled"], """
+  SELECT key, label, num_added_lines, row_number() OVER (ORDER BY md5('42-' || key), key) - 1 AS position FROM labelled""")
+oracle("m6_exact_split", ["labelled"], """
+  , ranked AS (SELECT key, label, row_number() OVER (ORDER BY md5('42-' || key), key) AS rank, count(*) OVER () AS n FROM labelled)
+  SELECT key, label, CASE WHEN rank <= floor(0.8::DOUBLE * n) THEN 'train'
+    WHEN rank <= floor(0.8::DOUBLE * n) + floor(0.1::DOUBLE * n) THEN 'val' ELSE 'test' END AS split FROM ranked""")
 oracle("m6_split", ["labelled"], f"SELECT key, label, {SPLIT} AS split FROM labelled")
 oracle("m7_class_balance", ["labelled"], f"""
   SELECT {SPLIT} AS split, count(*) AS samples, count(*) FILTER (label = 1) AS buggy,

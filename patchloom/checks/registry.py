@@ -691,6 +691,21 @@ def m6_split(spark, sf):
     return _training_rows(spark, sf).select("key", "label", "split")
 
 
+@query
+def m5_sample_positions(spark, sf):
+    """The shuffled order as a column, written and read."""
+    path = _new_dir(spark, "shuffled")
+    rows = _labelled(spark, sf).select("key", "label", "num_added_lines")
+    training.with_positions(rows, F.md5(F.concat(F.lit("42-"), "key")), F.col("key")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query
+def m6_exact_split(spark, sf):
+    rows = training.training_rows(_labelled(spark, sf), "key")
+    return training.with_exact_split(rows, F.col("key")).select("key", "label", "split")
+
+
 @query
 def m7_class_balance(spark, sf):
     return training.class_balance(_training_rows(spark, sf), "split")

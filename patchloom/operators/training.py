@@ -93,6 +93,73 @@ def with_split(samples: DataFrame, key: Column, seed: int = 42) -> DataFrame:
     )
 
 
+def with_positions(rows: DataFrame, *order: Column) -> DataFrame:
+    """Stored rows with ``position``: 0, 1, 2 ... in the given order, which a write and a read leave as it is.
+
+    Ranges of the order are dealt out and sorted in parallel; a window over one count per range carries them on. Rows that are equal
+    in ``order`` come in any order.
+    """
+    sorted_rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    number = F.monotonically_increasing_id()  # the range in the upper bits, the row in the lower 33
+    stored = materialize(sorted_rows.select("*", F.shiftright(number, 33).alias("_range"), (number % (1 << 33)).alias("_row")))
+    counts = stored.groupBy("_range").agg(F.count("*").alias("n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = counts.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    return stored.join(starts, "_range").select(*rows.columns, (F.col("_start") + F.col("_row")).alias("position"))
+
+
+#: Hexadecimal digits of a hash by which one pass narrows a cut, so a pass counts at most 16^4 prefixes.
+CUT_DIGITS = 4
+
+
+def _cuts(hashes: DataFrame, ranks: list[int]) -> list[str | None]:
+    """For each rank the prefix such that as many rows as the rank says have a hash up to it; None for rank 0.
+
+    Counts by prefix narrow each cut to one prefix, whose rows are then counted by longer prefixes, until a prefix ends at the rank or is
+    a whole hash. Rows of one hash stay together, so a rank within them is rounded up.
+    """
+    found: dict[int, str | None] = {k: None for k, rank in enumerate(ranks) if rank == 0}
+    prefixes, left = {k: "" for k in range(len(ranks)) if k not in found}, dict(enumerate(ranks))
+    for width in range(CUT_DIGITS, 32 + CUT_DIGITS, CUT_DIGITS):
+        if not prefixes:
+            break
+        within = F.substring("hash", 1, width - CUT_DIGITS).isin(*set(prefixes.values())) if width > CUT_DIGITS else F.lit(True)
+        counted = hashes.filter(within).groupBy(F.substring("hash", 1, width).alias("prefix")).agg(F.count("*").alias("n"))
+        counts = sorted((r.prefix, r.n) for r in counted.collect())  # 16^4 for each cut at most
+        for k, prefix in list(prefixes.items()):
+            for longer, n in counts:
+                if not longer.startswith(prefix):
+                    continue
+                if left[k] > n:
+                    left[k] -= n
+                    continue
+                if left[k] == n or width >= 32:
+                    found[k] = longer
+                    del prefixes[k]
+                else:
+                    prefixes[k] = longer
+                break
+    return [found[k] for k in range(len(ranks))]
+
+
+def with_exact_split(samples: DataFrame, key: Column, seed: int = 42) -> DataFrame:
+    """Adds ``split`` with floor sizes to the row: 80 % train, 10 % validation, the rest test, in the order of the seeded md5 of the key.
+
+    Two cuts through the hashes say it all: no sort, and the same split however the rows are dealt out. Samples that
+    share a key stay together; then a size can be off by the samples of one key.
+    """
+    hashed = samples.withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}-"), key)))
+    hashes = materialize(hashed.select(F.col("_hash").alias("hash")))
+    n = hashes.count()
+    train, val = _cuts(hashes, [int(0.8 * n), int(0.8 * n) + int(0.1 * n)])
+
+    def upto(prefix: str | None) -> Column:
+        return F.lit(False) if prefix is None else F.substring("_hash", 1, len(prefix)) <= prefix
+
+    split = F.when(upto(train), F.lit("train")).when(upto(val), F.lit("val")).otherwise(F.lit("test"))
+    return hashed.withColumn("split", split).drop("_hash")
+
+
 def class_balance(samples: DataFrame, *by: str) -> DataFrame:
     """Sample count, positives, their share, and the ratio of negatives to positives."""
     positive = F.count_if(F.col("label") == 1)

@@ -134,3 +134,30 @@ def test_csv_round_trip(spark, tmp_path):
     back = landed.read_training_csv(spark, str(tmp_path / "c"))
     assert back.columns == [*VECTOR_COLUMNS, "label"] and back.count() == 20
     assert back.agg(F.sum("label")).first()[0] == rows.agg(F.sum("label")).first()[0]
+
+
+def test_exact_split_sizes(spark, monkeypatch):
+    for n, digits in ((0, 4), (1, 4), (9, 1), (10, 4), (257, 1), (1000, 2)):
+        monkeypatch.setattr(training, "CUT_DIGITS", digits)
+        rows = spark.range(n).select(F.col("id").cast("string").alias("key"))
+        by = {r.key: r.split for r in training.with_exact_split(rows.repartition(3), F.col("key")).collect()}
+        counts = [list(by.values()).count(s) for s in ("train", "val", "test")]
+        assert counts == [int(0.8 * n), int(0.1 * n), n - int(0.8 * n) - int(0.1 * n)]
+        assert by == {r.key: r.split for r in training.with_exact_split(rows.coalesce(1), F.col("key")).collect()}
+
+
+def test_exact_split_keeps_keys_together(spark):
+    rows = spark.range(400).select((F.col("id") % 10).cast("string").alias("key"))
+    split = training.with_exact_split(rows, F.col("key"))
+    assert split.groupBy("key").agg(F.count_distinct("split").alias("n")).filter("n > 1").isEmpty()
+
+
+def test_positions(spark, tmp_path):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v"), (F.col("id") % 3).alias("w"))
+    placed = training.with_positions(rows.repartition(5), F.col("w").desc(), F.col("v"))
+    placed.write.parquet(str(tmp_path / "p"))
+    got = sorted((r.position, -r.w, r.v) for r in spark.read.parquet(str(tmp_path / "p")).collect())
+    assert [p for p, _, _ in got] == list(range(1000)) and [g[1:] for g in got] == sorted(g[1:] for g in got)
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 1 and "_range" in plan.split("Window ")[1]
+    assert training.with_positions(rows.limit(0), F.col("v")).isEmpty()
