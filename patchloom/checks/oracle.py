@@ -730,25 +730,106 @@ oracle("c3_signature_budget", ["signature_lists"], "SELECT * FROM signature_list
 oracle("c4_changed_files_summary", ["summaries"], "SELECT * FROM summaries")
 oracle("c5_pr_context", ["context"], "SELECT * FROM context")
 NL = "chr(10)"
-oracle("c6_prompts", ["merged", "routes", "context", "signature_lists"], f"""
+
+
+def prompt_sql(chunks: str, routes: str, signatures: str, focus: str) -> str:
+    """Prompts of the files in ``routes``, with the chunks of ``chunks``; ``focus`` gives (pr_id, file_path, listed)."""
+    return f"""
   , code AS (SELECT pr_id, file_path, count(*) AS chunks, string_agg(
       'Lines ' || start_line || ' to ' || end_line || {NL}
       || CASE WHEN len(context_lines) > 0 THEN 'Around it:' || {NL}
            || array_to_string(list_transform(context_lines[1:5], lambda l: '    ' || l), {NL}) || {NL} ELSE '' END
       || 'New code:' || {NL} || array_to_string(list_transform(lines, lambda l: '+ ' || l), {NL}),
-      {NL} || '---' || {NL} ORDER BY chunk_ord) AS code, bool_or(start_line % 2 = 1) AS has_focus
-    FROM merged GROUP BY pr_id, file_path)
+      {NL} || '---' || {NL} ORDER BY chunk_ord) AS code
+    FROM {chunks} GROUP BY pr_id, file_path),
+  focus AS ({focus})
   SELECT r.pr_id, r.file_path, r.file_ord, c.chunks::INT AS chunks,
     CASE WHEN title <> '' THEN '# Pull request' || {NL} || 'Title: ' || title
       || CASE WHEN shown_body <> '' THEN {NL} || shown_body ELSE '' END || {NL} || {NL} ELSE '' END
     || CASE WHEN changed_files_summary <> '' THEN '# Declarations added in this pull request' || {NL} || changed_files_summary || {NL} || {NL} ELSE '' END
     || CASE WHEN coalesce(signatures, '') <> '' THEN '# Declarations in this file' || {NL} || signatures || {NL} || {NL} ELSE '' END
-    || CASE WHEN has_focus THEN '# Look closely at' || {NL} || '* first area' || {NL} || '* second area' || {NL} || {NL} ELSE '' END
+    || CASE WHEN listed IS NOT NULL THEN '# Look closely at' || {NL} || listed || {NL} || {NL} ELSE '' END
     || '# Changes in ' || r.file_path || {NL} || code AS prompt
-  FROM routes r JOIN code c ON c.pr_id = r.pr_id AND c.file_path = r.file_path
+  FROM {routes} r JOIN code c ON c.pr_id = r.pr_id AND c.file_path = r.file_path
   JOIN context x ON x.pr_id = r.pr_id
-  LEFT JOIN signature_lists s ON s.pr_id = r.pr_id AND s.file_path = r.file_path
-  WHERE route = 'prompt'""")
+  LEFT JOIN {signatures} s ON s.pr_id = r.pr_id AND s.file_path = r.file_path
+  LEFT JOIN focus f ON f.pr_id = r.pr_id AND f.file_path = r.file_path
+  WHERE route = 'prompt'"""
+
+
+oracle("c6_prompts", ["merged", "routes", "context", "signature_lists"], prompt_sql("merged", "routes", "signature_lists", f"""
+    SELECT pr_id, file_path, '* first area' || {NL} || '* second area' AS listed FROM merged WHERE start_line % 2 = 1 GROUP BY pr_id, file_path"""))
+
+# --- the whole review on scored chunks -----------------------------------------------------------
+
+cte("high", ["merged_scored", "merged"], """
+  SELECT m.*, s.score FROM merged_scored s JOIN merged m ON m.pr_id = s.pr_id AND m.chunk_ord = s.chunk_ord WHERE s.score >= 0.6""")
+cte("high_routes", ["high"], CTES["routes"][1].replace("FROM merged", "FROM high"))
+cte("high_budget", ["high"], budgeted("high", "chunk_ord"))
+cte("high_signatures", ["high_budget", "contents"], CTES["signature_lists"][1].replace("merged_budget", "high_budget"))
+cte("high_oversize", ["high_routes"], CTES["oversize"][1].replace("FROM routes", "FROM high_routes"))
+oracle("c6_review_prompts", ["high", "high_routes", "context", "high_signatures", "seen_areas"], prompt_sql("high", "high_routes", "high_signatures", f"""
+    SELECT pr_id, file_path, string_agg('* ' || area, {NL} ORDER BY seen) AS listed FROM seen_areas GROUP BY pr_id, file_path"""))
+
+SPACE_TRIM = f"'^[{S}]+|[{S}]+$', '', 'g'"
+
+
+def answered_findings(name: str, chunks: str, routes: str) -> None:
+    """What the answers of `registry._answers` say about the files of ``routes``, located."""
+    cte(f"{name}_asked", [chunks, routes], f"""
+      SELECT r.pr_id, r.file_path, r.file_ord, r.file_ord + r.chunks AS n, list(c.start_line ORDER BY c.chunk_ord) AS starts,
+        list(c.lines ORDER BY c.chunk_ord) AS all_lines, min_by(c.end_line, c.chunk_ord) AS first_end, min_by(c.lines, c.chunk_ord)[-1] AS quote
+      FROM {routes} r JOIN {chunks} c ON c.pr_id = r.pr_id AND c.file_path = r.file_path WHERE route = 'prompt'
+      GROUP BY r.pr_id, r.file_path, r.file_ord, r.chunks""")
+    cte(f"{name}_lines", [f"{name}_asked"], f"""
+      SELECT pr_id, file_path, min_by(start + i - 1, nth * 100000 + i) AS line FROM (
+        SELECT pr_id, file_path, quote, start, nth, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM (
+          SELECT pr_id, file_path, quote, unnest(starts) AS start, unnest(all_lines) AS ls, generate_subscripts(starts, 1) AS nth FROM {name}_asked))
+      WHERE contains(regexp_replace(l, {SPACE_TRIM}), regexp_replace(quote, {SPACE_TRIM})) GROUP BY pr_id, file_path""")
+    cte(f"{name}_found", [f"{name}_asked", f"{name}_lines"], f"""
+      SELECT a.pr_id, a.file_path, file_ord, 0 AS finding_ord, ['bug', 'security', 'performance', 'style'][n % 4 + 1] AS type,
+        ['high', 'medium', 'low'][n % 3 + 1] AS severity, 'Look again at line ' || n % 6 AS message, quote AS line_content, 'check it' AS suggestion,
+        0.95::DOUBLE AS confidence, CASE WHEN quote = '' THEN first_end ELSE l.line END AS line
+      FROM {name}_asked a LEFT JOIN {name}_lines l ON l.pr_id = a.pr_id AND l.file_path = a.file_path WHERE n % 7 <> 6 AND n % 5 <> 4
+      UNION ALL
+      SELECT pr_id, file_path, file_ord, 1, 'style', 'low', 'Second look', '', '', 1.0, first_end FROM {name}_asked WHERE n % 7 <> 6""")
+
+
+answered_findings("job", "high", "high_routes")
+cte("job_all", ["high_oversize", "job_found"], """
+  SELECT pr_id, file_path, file_ord, finding_ord, line, type, severity, message, line_content, suggestion, confidence FROM high_oversize
+  UNION ALL SELECT pr_id, file_path, file_ord, finding_ord, line, type, severity, message, line_content, suggestion, confidence FROM job_found""")
+oracle("i4_review_findings", ["job_all"], "SELECT * FROM job_all")
+cte("job_grouped", ["job_all"], CTES["grouped"][1].replace("FROM found", "FROM job_all"))
+cte("job_group_rows", ["job_grouped"], CTES["group_rows"][1].replace("FROM grouped", "FROM job_grouped"))
+cte("job_counts", ["job_group_rows"], CTES["counts"][1].replace("FROM group_rows", "FROM job_group_rows"))
+oracle("i9_review_reports", ["merged_scored", "high_routes", "job_counts", "job_asked", "prs", "docs"], """
+  , triage AS (SELECT pr_id, count(*) AS total_chunks, count(*) FILTER (score >= 0.6) AS high_risk,
+      count(*) FILTER (score < 0.6) AS low_risk_skipped FROM merged_scored GROUP BY pr_id),
+  checked AS (SELECT pr_id, count(*) AS files_checked FROM high_routes GROUP BY pr_id),
+  late AS (SELECT pr_id, string_agg(file_path, ',' ORDER BY file_ord, file_path) AS files_skipped FROM job_asked WHERE n % 7 = 6 GROUP BY pr_id),
+  known AS (SELECT pr_id, CASE WHEN starts_with(pr_id, 'draft-') THEN 'error' ELSE 'ok' END AS status FROM prs)
+  SELECT p.pr_id, status, CASE WHEN status = 'error' THEN 'no diff' WHEN t.pr_id IS NULL THEN 'no reviewable changes' END AS detail,
+    CASE WHEN status = 'ok' THEN coalesce(total_chunks, 0) END AS chunks_analyzed, CASE WHEN status = 'ok' THEN coalesce(files_checked, 0) END AS files_checked,
+    CASE WHEN t.pr_id IS NOT NULL THEN coalesce(findings, 0) END AS findings, CASE WHEN t.pr_id IS NOT NULL THEN coalesce(findings, 0) END AS comments_posted,
+    CASE WHEN t.pr_id IS NOT NULL THEN coalesce(files_skipped, '') END AS files_skipped, total_chunks, high_risk, low_risk_skipped,
+    CASE WHEN t.pr_id IS NOT NULL THEN true END AS classifier_loaded,
+    CASE WHEN t.pr_id IS NOT NULL THEN coalesce(bugs, 0) END AS bugs, CASE WHEN t.pr_id IS NOT NULL THEN coalesce(security, 0) END AS security,
+    CASE WHEN t.pr_id IS NOT NULL THEN coalesce(performance, 0) END AS performance, CASE WHEN t.pr_id IS NOT NULL THEN coalesce(style, 0) END AS style
+  FROM known p LEFT JOIN triage t USING (pr_id) LEFT JOIN checked c USING (pr_id) LEFT JOIN job_counts f USING (pr_id) LEFT JOIN late l USING (pr_id)""")
+
+# snippets: one chunk each
+cte("snippet_files", ["v1_code"], """
+  SELECT doc_id::VARCHAR AS pr_id, CASE WHEN doc_id % 10 <> 0 THEN file_path ELSE 'snippet.py' END AS file_path, 0 AS chunk_ord, 1 AS start_line,
+    len(lines) AS end_line, lines FROM v1_code WHERE length(code) <= 10000""")
+cte("snippet_routes", ["snippet_files"], CTES["routes"][1].replace("FROM merged", "FROM snippet_files"))
+cte("snippet_oversize", ["snippet_routes"], CTES["oversize"][1].replace("FROM routes", "FROM snippet_routes"))
+answered_findings("snip", "snippet_files", "snippet_routes")
+cte("snip_all", ["snippet_oversize", "snip_found"], CTES["job_all"][1].replace("high_oversize", "snippet_oversize").replace("job_found", "snip_found"))
+cte("snip_grouped", ["snip_all"], CTES["grouped"][1].replace("FROM found", "FROM snip_all"))
+cte("snip_rows", ["snip_grouped"], CTES["group_rows"][1].replace("FROM grouped", "FROM snip_grouped"))
+oracle("i11_snippet_review", ["snip_rows"], """
+  SELECT pr_id AS snippet_id, type, severity, message, line, line_content, count(*) OVER (PARTITION BY pr_id) AS total_findings FROM snip_rows""")
 
 FINDING = "pr_id, file_path, finding_ord, type, severity, message, line_content, suggestion, confidence"
 oracle("i1_parsed_findings", ["parsed"], f"SELECT {FINDING} FROM parsed")

@@ -656,6 +656,72 @@ def i11_snippet_findings(spark, sf):
     return findings.snippet_findings(_grouped(spark, sf)).drop("file_ord", "finding_ord")
 
 
+# --- the whole review on scored chunks -----------------------------------------------------------
+
+
+def _job(spark, sf):
+    """Diffs to prompts on real scores: a base score by line stands for the model's."""
+    prs = landed.pr_status(X.pull_requests(spark, sf), X.diffs(spark, sf))
+    chunks = _merged_stored(spark, sf).withColumn("base_score", (F.col("start_line") % 100) / 100.0)
+    enriched = review.enriched_features(chunks, X.pull_requests(spark, sf), X.pr_files(spark, sf), X.commits(spark, sf))
+    scored = materialize(scoring.with_focus_areas(scoring.with_adjusted_score(enriched)))
+    high = scoring.high_risk(scored)
+    routes = context.file_routes(high)
+    files = context.reviewed_files(high, routes)
+    lists = context.budgeted_signatures(high, _contents(spark, sf))
+    prompts = context.prompts(files, _context(spark, sf), lists, scoring.file_focus_areas(scored))
+    return review.Triage(prs.select("pr_id", "status"), scored, scoring.triage_counts(scored, True), materialize(routes), materialize(files), prompts)
+
+
+def _answers(files):
+    """The outside reviewer's answers: a quote of the last line of the first chunk, and a remark without one; some unsure, some too late."""
+    n = F.col("file_ord") + F.size("chunks")
+    quote = F.element_at(F.get("chunks", F.lit(0))["added_lines"], -1)
+
+    def pick(values, at):
+        return F.get(F.array(*map(F.lit, values)), (at % len(values)).cast("int"))
+
+    first = F.struct(
+        pick(["bug", "security", "performance", "style"], n).alias("type"), pick(["high", "medium", "low"], n).alias("severity"),
+        F.concat(F.lit("Look again at line "), (n % 6).cast("string")).alias("message"), quote.alias("line_content"), F.lit("check it").alias("suggestion"),
+        F.when(n % 5 == 4, 0.3).otherwise(0.95).alias("confidence"),
+    )
+    text = F.format_string('{"findings": [%s, {"message": "Second look"}]}', F.to_json(first))
+    return files.select(
+        "pr_id", "file_path", F.when(n % 7 == 6, "timeout").otherwise("ok").alias("status"), F.when(n % 7 != 6, text).alias("response_text")
+    )
+
+
+@query
+def c6_review_prompts(spark, sf):
+    """Prompts of the high-risk chunks, with their own focus areas."""
+    return _job(spark, sf).prompts
+
+
+@query
+def i4_review_findings(spark, sf):
+    """Oversize and located findings of the same PRs."""
+    job = _job(spark, sf)
+    located = findings.located(findings.parse_responses(_answers(job.files)), job.files)
+    return findings.all_findings(findings.oversize_findings(job.routes), located)
+
+
+@query
+def i9_review_reports(spark, sf):
+    """From diffs through prompts and answers to reports, one job."""
+    job = _job(spark, sf)
+    return _flat_reports(review.conclude(job.prs, job.triage_counts, job.routes, job.files, _answers(job.files)).reports)
+
+
+@query
+def i11_snippet_review(spark, sf):
+    """Answers to snippets, as the snippet review returns them."""
+    taken = X.snippets(spark, sf)
+    chunks = landed.accepted(landed.snippet_chunks(taken)).withColumnRenamed("snippet_id", "pr_id")
+    answers = _answers(context.reviewed_files(chunks, context.file_routes(chunks)))
+    return snippets.snippet_review(taken, answers.withColumnRenamed("pr_id", "snippet_id"))
+
+
 # --- training ----------------------------------------------------------------------------------
 
 
