@@ -17,6 +17,7 @@ length that is null, below 1 or above the capacity has no place (null sequence_i
 
 from __future__ import annotations
 
+import zlib
 from collections import deque
 from collections.abc import Iterator
 
@@ -39,16 +40,17 @@ WINDOW = 4096
 #: Rows of a file, and of a task, that `in_file_order` can number.
 FILE_ROWS = 1 << 40
 
-PIECES = "doc_id long, piece int, start long, length long, tokens binary"
+PIECES = "doc_id long, piece int, start long, length long"
 
 
 def tokenized_pieces(
     docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID,
-    blank: str = BLANK_LEADS, order: str | None = None,
+    blank: str = BLANK_LEADS, order: str | None = None, checksums: bool = False,
 ) -> DataFrame:
     """Pieces of at most `capacity` ids per document; only the first piece of a document may be shorter.
 
-    `order` names a column of longs that goes along. `tokens` holds the ids as little-endian unsigned 32-bit integers.
+    `order` names a column of longs that goes along. `tokens` holds the ids as little-endian unsigned 32-bit integers;
+    with `checksums` their CRC-32, `ids_crc32`, stands in their place, and the ids do not leave the worker.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,16 +65,17 @@ def tokenized_pieces(
             length = np.where(piece == 0, first[doc], capacity)
             begin = (np.cumsum(lengths) - lengths)[doc] + start
             raw = memoryview(flat.astype("<u4").tobytes())
-            tokens = [raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), (begin + length).tolist())]
+            tokens = (raw[4 * a : 4 * b] for a, b in zip(begin.tolist(), (begin + length).tolist()))
+            ids = pa.array(map(zlib.crc32, tokens), pa.int64()) if checksums else pa.array(list(tokens), pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start),
-                 pa.array(length), pa.array(tokens, pa.binary()), *(c.take(pa.array(doc)) for c in batch.columns[2:])],
-                names=["doc_id", "piece", "start", "length", "tokens", *along],
+                 pa.array(length), ids, *(c.take(pa.array(doc)) for c in batch.columns[2:])],
+                names=["doc_id", "piece", "start", "length", "ids_crc32" if checksums else "tokens", *along],
             )
 
     along = [order] if order else []
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *along)
-    return narrow.mapInArrow(cut, ", ".join([PIECES, *(f"`{c}` long" for c in along)]))
+    return narrow.mapInArrow(cut, ", ".join([PIECES, "ids_crc32 long" if checksums else "tokens binary", *(f"`{c}` long" for c in along)]))
 
 
 def in_file_order(docs: DataFrame) -> DataFrame:

@@ -26,10 +26,9 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 1024 tokens."""
     pieces = packing.tokenized_pieces(
-        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), checksums=True
     )
-    digests = pieces.withColumn("ids_crc32", F.crc32("tokens")).drop("tokens")
-    return packing.place(digests)
+    return packing.place(pieces)
 
 
 @query
@@ -60,9 +59,7 @@ def op5_rans_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = rans.write_files(
         table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json")
     )
-    return rans.read_files(manifest, folder).select(
-        "doc_id", "start", "n_tokens", F.crc32("tokens").alias("ids_crc32")
-    )
+    return rans.read_files(manifest, folder, checksums=True)
 
 
 @query

@@ -269,11 +269,16 @@ def write_files(
         store.create_dir(root, recursive=True)
         for batch in slices(batches, text=1):
             flat, lengths = encode(batch.column(1))
-            held.append((batch.column(0).to_pylist(), lengths, flat))
-            size += len(flat)
-            if size >= file_ids:
-                yield flush()
-                held, number, size = [], number + 1, 0
+            names, ends, at, done = batch.column(0).to_pylist(), np.cumsum(lengths), 0, 0
+            while at < len(names):  # a file ends with the document that fills it
+                to = min(int(np.searchsorted(ends, done + file_ids - size)) + 1, len(names))
+                upto = int(ends[to - 1])
+                held.append((names[at:to], lengths[at:to], flat[done:upto]))
+                size += upto - done
+                at, done = to, upto
+                if size >= file_ids:
+                    yield flush()
+                    held, number, size = [], number + 1, 0
         if held:
             yield flush()
 
@@ -289,8 +294,11 @@ def _partitions(frame: DataFrame) -> int:
     return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def read_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and tokens (little-endian 32-bit) of every document, from the files that the manifest names."""
+def read_files(manifest: DataFrame, folder: str, checksums: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens and tokens (little-endian 32-bit) of every document, from the files that the manifest names.
+
+    With `checksums` the CRC-32 of the tokens, `ids_crc32`, stands in their place, and they do not leave the worker.
+    """
     tasks = manifest.groupBy("task").agg(F.sum("n_ids").alias("n"))
     earlier = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # a row per writing task
     before = tasks.select("task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("task_start"))
@@ -314,10 +322,12 @@ def read_files(manifest: DataFrame, folder: str) -> DataFrame:
                     raw = memoryview(file.ids().astype("<u4").tobytes())
                 ends = np.cumsum(lengths)
                 begins = (ends - lengths).tolist()
-                tokens = [raw[4 * a : 4 * b] for a, b in zip(begins, ends.tolist())]
+                tokens = (raw[4 * a : 4 * b] for a, b in zip(begins, ends.tolist()))
+                ids = pa.array(map(zlib.crc32, tokens), pa.int64()) if checksums else pa.array(list(tokens), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), pa.array(tokens, pa.binary())],
-                    names=["doc_id", "start", "n_tokens", "tokens"],
+                    [pa.array(names, pa.int64()), pa.array(start + ends - lengths), pa.array(lengths), ids],
+                    names=["doc_id", "start", "n_tokens", last],
                 )
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, tokens binary")
+    last = "ids_crc32" if checksums else "tokens"
+    return files.mapInArrow(read, f"doc_id long, start long, n_tokens long, {last} {'long' if checksums else 'binary'}")

@@ -81,7 +81,10 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # words are cut out of texts that name no added token
+        self.whole = Tokenizer.from_file(path)
+        named = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = "(?i)" + "|".join(named) if named else None
         self.blank, self.end_id = blank, end_id
         self.lowers = "Lowercase()" in str(self.tokenizer.normalizer)
         self.mark_id: list[int] | None = None
@@ -204,8 +207,28 @@ class CachedEncoder:
             self.long = False
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and how many each text has. A null text counts as empty."""
+        """All ids in one array, and how many each text has. A null text counts as empty.
+
+        Texts that name an added token are encoded by the library as a whole; there are few.
+        """
         texts = texts.fill_null("")
+        if self.added:
+            named = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False)
+            if named.any():
+                return self._with_named(texts, np.flatnonzero(named))
+        return self._encode(texts)
+
+    def _with_named(self, texts: pa.Array, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        others = np.ones(len(texts), bool)
+        others[rows] = False
+        flat, lengths = self._encode(pc.if_else(pa.array(others), texts, ""))
+        parts = np.split(flat, np.cumsum(lengths)[:-1])
+        ends = [] if self.end_id is None else [self.end_id]
+        for row in rows.tolist():
+            parts[row] = np.array(self.whole.encode(texts[row].as_py(), add_special_tokens=False).ids + ends, np.uint32)
+        return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         known = len(self.index)
         at, counts = self._places(texts)
         ragged = self.ragged.data[at]
@@ -227,7 +250,7 @@ class CachedEncoder:
         return flat, np.diff(upto, prepend=0)
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=1)
 def encoder(path: str, blank: str, end_id: int | None) -> CachedEncoder:
-    """One encoder per worker process and setting."""
+    """One encoder per worker process: that of the last setting."""
     return CachedEncoder(path, blank, end_id)

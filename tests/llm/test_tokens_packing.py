@@ -39,6 +39,18 @@ def test_cached_ids_are_those_of_the_whole_text(name, blank, cached, monkeypatch
     check()
 
 
+@pytest.mark.parametrize("name,blank", FILES)
+def test_texts_that_name_added_tokens(name, blank):
+    """As the library has them, without any setting of ours."""
+    encode, whole = tokens.CachedEncoder(public_tokenizers.path(name), blank, 2).encode, Tokenizer.from_file(public_tokenizers.path(name))
+    texts = [
+        "hello <|endoftext|> world", "plain text", None, "<|ENDOFTEXT|> in capitals", "a<|startoftext|>b<|endoftext|>", "<|endoftext", "", "  <|endoftext|>\n",
+    ]
+    flat, lengths = encode(pa.array(texts, pa.string()))
+    got = [x.tolist() for x in np.split(flat, np.cumsum(lengths)[:-1])]
+    assert got == [whole.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
 def naive_bins(lengths, capacity):
     rooms = []
     count = 0
