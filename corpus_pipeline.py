@@ -34,7 +34,7 @@ def _aside(docs: DataFrame) -> dict[str, str]:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies: shingles of five words, Jaccard similarity from 0.8 on."""
+    """Keeps one document of each class of near copies: SimHash links and what lies beyond, verified at Jaccard 0.8 over five-word shingles."""
     return near_copies.unique_documents(docs)
 
 
@@ -58,8 +58,8 @@ def pfair_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents with their places in sequences of 1024 tokens, sequences in the order of the documents."""
-    pieces = packing.tokenized_pieces(packing.in_file_order(docs), public_tokenizers.path("byte_bpe_50k.json"), order="_order")
-    return packing.place_in_order(pieces.withColumn("ids_crc32", F.crc32("tokens")).drop("tokens"), "_order").drop("_order")
+    pieces = packing.tokenized_pieces(packing.in_file_order(docs), public_tokenizers.path("byte_bpe_50k.json"), order="_order", checksums=True)
+    return packing.place_in_order(pieces, "_order").drop("_order")
 
 
 STAGES = [
