@@ -906,7 +906,7 @@ oracle("t1_event_reviews", ["classified", "merged"], """
     CASE WHEN total_chunks IS NOT NULL THEN false END AS classifier_loaded
   FROM classified c LEFT JOIN per_pr p ON p.pr_id = repo_name || '-' || (pr_number % 25)
   WHERE status = 'accepted'""")
-for _same, _as in (("d4_segmented_lines", "d4_new_side_lines"), ("d5_file_chunks", "d5_chunks"), ("d6_segmented_chunks", "d6_merged_chunks")):
+for _same, _as in (("s5_commits_by_increments", "s5_recent_commits"), ("e4_risk_by_increments", "e4_history_risk"), ("d4_segmented_lines", "d4_new_side_lines"), ("d5_file_chunks", "d5_chunks"), ("d6_segmented_chunks", "d6_merged_chunks")):
     ORACLES[_same] = ORACLES[_as]
 oracle("t1_event_reports", ["reports"], "SELECT * FROM reports")
 ADMITTED = "SELECT user_id::VARCHAR AS client, event_id AS request_id, admitted FROM walk"

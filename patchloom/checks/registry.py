@@ -15,7 +15,7 @@ from patchloom.operators.features import chunk_features, vector_array, vector_co
 from patchloom.plans import collect, review, snippets
 from patchloom.session import materialize, shared_dir
 from patchloom.sources import fixtures as X
-from patchloom.sources import batches, landed, sinks
+from patchloom.sources import batches, landed, recent, sinks
 from patchloom.streaming import admission, answers, reviews
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -162,6 +162,20 @@ def s5_recent_commits(spark, sf):
     return landed.recent_commits(X.commits(spark, sf)).select("repo", "file_path", "sha", "place", "message")
 
 
+def _recent_by_increments(spark, sf):
+    """The kept commits after four increments, which come in no order of time; the last is run twice."""
+    path, commits = _new_dir(spark, "recent"), materialize(X.commits(spark, sf))
+    part = F.pmod(F.xxhash64("sha"), F.lit(4))
+    for batch in (0, 1, 2, 3, 3):
+        recent.update(commits.filter(part == batch), path, batch)
+    return recent.read(spark, path)
+
+
+@query
+def s5_commits_by_increments(spark, sf):
+    return landed.recent_commits(_recent_by_increments(spark, sf)).select("repo", "file_path", "sha", "place", "message")
+
+
 @query
 def s6_commit_crawl(spark, sf):
     return landed.crawled_commits(X.commits(spark, sf)).select("repo", "sha", "place")
@@ -442,6 +456,11 @@ def e4_history_risk(spark, sf):
     return history.commit_history_risk(X.commits(spark, sf))
 
 
+@query
+def e4_risk_by_increments(spark, sf):
+    return history.commit_history_risk(_recent_by_increments(spark, sf))
+
+
 @query
 def e5_history_budget(spark, sf):
     chunks = _merged(spark, sf).select("pr_id", "file_path", "chunk_ord")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from patchloom.functions.constants import SEED_REPOS, VECTOR_COLUMNS
 from patchloom.operators import training
 from patchloom.plans import collect
-from patchloom.sources import landed, sinks
+from patchloom.sources import landed, recent, sinks
 
 COMMIT = "repo string, file_path string, committed_at timestamp, sha string, message string"
 
@@ -161,3 +161,18 @@ def test_positions(spark, tmp_path):
     plan = placed._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window ") == 1 and "_range" in plan.split("Window ")[1]
     assert training.with_positions(rows.limit(0), F.col("v")).isEmpty()
+
+
+def test_recent_commits_by_increments(spark, tmp_path):
+    """After every increment as a full run has them; an increment writes the buckets of its files and no others."""
+    rng, start, path = random.Random(1), datetime(2024, 1, 1), str(tmp_path / "recent")
+    log = [(f"r{rng.randrange(3)}", f"f{rng.randrange(8)}.py", start + timedelta(hours=rng.randrange(300)), f"c{k}", "m") for k in range(400)]
+    done = []
+    for batch, part in enumerate((log[:150], log[150:152], log[152:], log[152:])):
+        recent.update(spark.createDataFrame(part, COMMIT), path, batch, buckets=16, limit=5)
+        done += [r for r in part if r not in done]
+        full = landed.recent_commits(spark.createDataFrame(done, COMMIT), 5).drop("place")
+        columns = ["repo", "file_path", "sha", "committed_at"]
+        assert sorted(recent.read(spark, path).select(columns).collect()) == sorted(full.select(columns).collect())
+    touched = spark.read.parquet(f"{path}/recent").filter("commit_batch = 1").select("bucket").distinct().count()
+    assert touched == len({(r, f) for r, f, *_ in log[150:152]})
