@@ -125,6 +125,16 @@ def _iban(m: re.Match, key: bytes) -> str | None:
     return "".join(" " if c == " " else next(new) for c in m.group())
 
 
+#: Country codes of two digits. 1 and 7 are codes themselves, all others have three, so the digits alone tell the code.
+_CODES_OF_TWO = set(
+    "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split()
+)
+
+
+def _code_length(digits: str) -> int:
+    return 1 if digits[0] in "17" else 2 if digits[:2] in _CODES_OF_TWO else 3
+
+
 def _phone(m: re.Match, key: bytes) -> str | None:
     digits = "".join(c for c in m.group() if c in _DIGITS)
     abroad = m.group().startswith("+")
@@ -137,9 +147,9 @@ def _phone(m: re.Match, key: bytes) -> str | None:
             return _refill(m.group(), digits[:-10] + f"{area + 200}{exchange + 200}{line:04d}")
         if not abroad:
             return None
-    code = len(m["code"]) - 1
     if not 8 <= len(digits) <= 15:
         return None
+    code = _code_length(digits)
     return _refill(m.group(), digits[:code] + _permute_digits(digits[code:], key, f"phone|{digits[:code]}"))
 
 
@@ -191,11 +201,11 @@ _FINDERS = (
     ("iban", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)", re.A), _iban),
     ("card", re.compile(r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])", re.A), _card),
     ("phone", re.compile(
-        r"(?<![\w.+-])(?:(?P<code>\+[0-9]{1,3}?)(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}|(?:1[ .-])?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4})(?![\w-])", re.A), _phone),
+        r"(?<![\w.+-])(?:\+[0-9]{1,3}?(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}|(?:1[ .-])?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])[2-9][0-9]{2}[ .-][0-9]{4})(?![\w-])", re.A), _phone),
     ("ssn", re.compile(r"(?<![\w.+-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![\w-])", re.A), _ssn),
     ("ip", re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\w|\.[0-9])", re.A), _ip),
     ("date", re.compile(
-        r"(?<![\w./-])(?:(?P<year>[0-9]{4})(?P<sign>[-/.])(?P<month>[0-9]{1,2})(?P=sign)(?P<day>[0-9]{1,2})|(?P<first>[0-9]{1,2})(?P<mark>[-/.])(?P<second>[0-9]{1,2})(?P=mark)(?P<late>[0-9]{4}))(?![\w-]|[./][0-9])", re.A), _date),
+        r"(?<![\w./-])(?:(?P<year>[0-9]{4})(?P<sign>[-/.])(?P<month>[0-9]{1,2})(?P=sign)(?P<day>[0-9]{1,2})|(?P<first>[0-9]{1,2})(?P<mark>[-/.])(?P<second>[0-9]{1,2})(?P=mark)(?P<late>[0-9]{4}))(?:(?=T[0-9]{2}:)|(?![\w-]|[./][0-9]))", re.A), _date),
 )
 _DIGIT = re.compile(r"[0-9]")
 _PART = re.compile(r"[A-Z0-9 -]+", re.A)

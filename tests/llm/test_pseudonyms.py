@@ -49,6 +49,22 @@ def test_phones_link_across_spellings():
     assert re.sub(r"\D", "", new("988-555-2485")) == got[1:] and re.fullmatch(r"\+49 \d{3} \d{4} \d{3}", new("+49 301 2345 678"))
 
 
+@pytest.mark.parametrize("code,rest", [("44", "2079460958"), ("49", "3012345678"), ("7", "4951234567"), ("351", "212345678"), ("852", "25123456"), ("33", "142685300"), ("1", "9885552485")])
+def test_foreign_phones_link_across_spellings(code, rest):
+    """One number in four spellings has one pseudonym, in the same country."""
+    shown = [f"+{code} {rest[:2]} {rest[2:6]} {rest[6:]}", f"+{code}{rest}", f"+{code}-{rest[:3]}-{rest[3:6]}-{rest[6:]}", f"+{code} ({rest[:3]}) {rest[3:]}"]
+    got = {re.sub(r"\D", "", new(s)) for s in shown if kinds(s) == ["phone"]}
+    assert kinds(shown[1]) == ["phone"] and len([s for s in shown if kinds(s) == ["phone"]]) >= 3
+    (number,) = got
+    assert number.startswith(code) and number != code + rest and len(number) == len(code + rest)
+
+
+def test_dates_in_timestamps():
+    moved = new("2024-01-05")
+    assert new("at 2024-01-05T10:00:00Z, 2024-01-05T10:00") == f"at {moved}T10:00:00Z, {moved}T10:00"
+    assert new("2024-01-05Tx 2024-01-05-1") == "2024-01-05Tx 2024-01-05-1"
+
+
 def test_iban_ssn_email():
     iban = "DE89 3704 0044 0532 0130 00"
     got = new(iban).replace(" ", "")
