@@ -132,7 +132,7 @@ class _Review(StatefulProcessor):
         if asked_in is not None and n_asked >= n_files and n_answered >= n_files:
             files, found = self._state()
             if len(files) == n_files and files.keys() <= found.keys():
-                yield self._close(key, asked_in, files, found, due)
+                yield self._close(key, asked_in, files, found, due, timerValues)
                 return
         first = due is None or (len(asks) > 0 and n_asked == len(asks["file_path"].dropna()))
         if first:
@@ -147,6 +147,7 @@ class _Review(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.now.exists():
+            self.last.clear()
             return
         asked_in, n_files, _, _, due = self.now.get()
         if due != expiredTimerInfo.getExpiryTimeInMs():
@@ -155,7 +156,7 @@ class _Review(StatefulProcessor):
         if asked_in is None:  # answers to nothing
             self._forget()
         else:
-            yield self._close(key, asked_in, files, found, None)
+            yield self._close(key, asked_in, files, found, None, timerValues)
 
     def _state(self) -> tuple[dict, dict]:
         """Files in the order in which they were asked for, and the earliest answer of each."""
@@ -165,11 +166,12 @@ class _Review(StatefulProcessor):
                 found[path] = (at, status, text or "", text)
         return dict.fromkeys(r[0] for r in self.asked.get()) if self.asked.exists() else {}, found
 
-    def _close(self, key, asked_in: int, files: dict, found: dict, due: int | None) -> pd.DataFrame:
+    def _close(self, key, asked_in: int, files: dict, found: dict, due: int | None, timers) -> pd.DataFrame:
         if due is not None:
             self.handle.deleteTimer(due)
         self._forget()
-        self.last.update((asked_in,))
+        self.last.update((asked_in,))  # kept for as long as a review lasts
+        self.handle.registerTimer(timers.getCurrentWatermarkInMs() + self.wait + 1)
         answered = [(path, *((found[path][1], found[path][3]) if path in found else ("timeout", None))) for path in files]
         rows = [(*key, asked_in, *row) for row in answered or [(None, None, None)]]
         return pd.DataFrame(rows, columns=[*KEY, "asked_in", "file_path", "status", "response_text"])
