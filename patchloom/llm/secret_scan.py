@@ -36,8 +36,12 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-#: Base64 lines, the first not short; line ends may be escaped, as in JSON and string literals.
-_LINES = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}(?:[ \t]*(?:(?:\\+[rn]|[\r\n])[ \t]*)+[A-Za-z0-9+/_-]+={0,2})*")
+#: Base64 lines, the first not short; line ends may be escaped, as in JSON and string literals. Between lines a literal may
+#: end and another begin, joined by a plus sign, a comma or a backslash, and a comment mark may stand before each.
+_LINES = re.compile(
+    r"""[A-Za-z0-9+/_-]{40,}={0,2}(?:(?:[ \t]*(?:(?:\\+[rn]|[\r\n])[ \t]*)+|(?:\\+[rn])*["'][ \t]*[+,\\]?[ \t]*[\r\n]+[ \t]*["']"""
+    r"""|[ \t]*[\r\n]+[ \t]*[#*][ \t]*)[A-Za-z0-9+/_-]+={0,2})*"""
+)
 _LINE = re.compile(r"(?:(?<=\\r)|(?<=\\n)|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]+={0,2}")
 #: What the base64 of a key starts with: a DER sequence, the length of an SSH type, the name of the newer SSH file.
 _KEY_START = re.compile(r"M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE")
@@ -179,8 +183,9 @@ def _key_sizes(data: bytes) -> list[int]:
 
 
 def _keys_in_lines(text: str, block: re.Match) -> Iterator[tuple[int, int, str]]:
-    """Keys that start anywhere in a run of base64 lines and end with one of them, from left to right."""
-    lines = [(m.start(), m.start() + len(m.group().rstrip("=")), m.end()) for m in _LINE.finditer(text, *block.span())]
+    """Keys that start anywhere in a run of base64 lines, from left to right. A key says where it ends: with a line, or before a separator."""
+    found = (m for m in _LINE.finditer(text, *block.span()) if m.group() != "+")  # that joins literals
+    lines = [(m.start(), m.start() + len(m.group().rstrip("=")), m.end()) for m in found]
     joined = "".join(text[a:b] for a, b, _ in lines)
     begins = list(itertools.accumulate((b - a for a, b, _ in lines), initial=0))  # of the lines, within `joined`
     upto = 0
@@ -196,10 +201,14 @@ def _keys_in_lines(text: str, block: re.Match) -> Iterator[tuple[int, int, str]]
         first = bisect.bisect_right(begins, at) - 1
         for end in sorted(ends, reverse=True):
             last = bisect.bisect_left(begins, end) - 1
-            if last < first or last >= len(lines) or begins[last + 1] != end:  # a key ends with a line
+            if last < first or last >= len(lines):
+                continue
+            # with its padding where it ends with a line, else before a path or word that is glued to it
+            stop = lines[last][2] if begins[last + 1] == end else lines[last][0] + end - begins[last]
+            if begins[last + 1] != end and text[stop] not in "/-_":
                 continue
             if kind := _kind(_decoded(joined[at:end])):
-                yield lines[first][0] + at - begins[first], lines[last][2], kind
+                yield lines[first][0] + at - begins[first], stop, kind
                 upto = end
                 break
 
@@ -233,9 +242,13 @@ def added_spans(text: str) -> list[tuple[int, int, str]]:
                 found.append((m.start(), m.end(), kind))
     found += _tokens(text)
     held = [(a, b) for a, b, _ in found]
-    for m in _LINES.finditer(text):
-        if any(a <= m.start() < b for a, b in held):
+    at = 0
+    while m := _LINES.search(text, at):
+        behind = [b for a, b in held if a <= m.start() < b]
+        if behind:  # a run that begins within what is known goes on behind it
+            at = max(behind)
             continue
+        at = m.end()
         keys = list(_keys_in_lines(text, m))
         found += keys
         for h in _LONG_HEX.finditer(text, *m.span()):

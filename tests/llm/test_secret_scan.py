@@ -112,5 +112,26 @@ def test_wrapped_glued_and_escaped_secrets():
         assert not any(key[i : i + 40] in left for i in range(0, len(key) - 40, 20)) and not S.added_spans(left)
 
 
+def test_keys_behind_tokens_in_literals_and_comments():
+    key = b64(PKCS8)
+    rows = [key[k : k + 64] for k in range(0, len(key), 64)]
+    token = next(t for t in CASES if [k for _, _, k in S.added_spans(t)] == ["jwt"])
+    a, b, _ = S.added_spans(token)[0]
+    jwt = token[a:b]
+    for text, kinds in (
+        (jwt + "\n" + "\n".join(rows), ["jwt", "der"]),
+        (" +\n    ".join(f'"{r}"' for r in rows), ["der"]),
+        (" +\n    ".join(f'"{r}\\n"' for r in rows), ["der"]),
+        ("\n".join(f'"{r}"' for r in rows), ["der"]),
+        ("# " + "\n# ".join(rows), ["der"]),
+        (" * " + "\n * ".join(rows), ["der"]),
+        (key.rstrip("=") + "/path" if not key.endswith("=") else key + " /path", ["der"]),
+        ("\n".join(rows) + "\nand then words follow", ["der"]),
+    ):
+        found = S.ordered(S.added_spans(text))
+        assert [k for _, _, k in found] == kinds, text
+        assert key[-9:-2] not in S.mask(text), text
+
+
 def test_key_starts_in_long_runs_cost_little():
     assert S.added_spans("MIIE" * 200_000) == [] and S.added_spans("\n".join(["MIIEabcd" * 8] * 5000)) == []
