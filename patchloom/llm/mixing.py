@@ -9,8 +9,13 @@ sources and holds for all their blocks: nothing runs over the data one block aft
 Nothing is dropped or repeated: a source whose blocks are used up leaves, and from the next frame on the others share the slots by
 their weights (a phase). In its last frame a source may leave slots empty.
 
-Documents are ordered within their source by id (nulls first, then by length) in two levels, runs of BUCKET ids and the sums of the
-runs, so no task needs a whole source.
+Documents are ordered within their source by id (nulls first, then by length). They are stored with a row number, and narrow rows of
+source, id and length are dealt out by ranges of (source, id, length, row number): a source with most of the rows, or an id that very many rows
+share, spreads over many tasks whatever the ids look like. One sum per source and range is carried on to later ranges. Texts move once, when
+they join their places by row number.
+
+The frame of a phase costs its slots times its sources, and a source opens one phase at most; phases are worked out over all tasks, but each
+in one row. That suits up to some thousands of sources.
 
 Edge cases: a null source is the source ''; a null text has length 0; repeated rows are all kept; a document longer
 than a block takes the slot of the block in which it begins; an empty table gives an empty result.
@@ -25,8 +30,6 @@ from pyspark.sql.window import Window
 from patchloom.llm.tables import materialize
 
 BLOCK_CHARS = 16_384
-#: Ids of a source that one window orders.
-BUCKET = 1024
 
 _FRAME = """
     aggregate(
@@ -53,26 +56,28 @@ def _weight(source: Column, weights: dict[str, int], default: int) -> Column:
     return F.coalesce(*(F.when(source == s, F.lit(w)) for s, w in sorted(weights.items())), F.lit(default)).cast("long")
 
 
-def cut_blocks(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """`docs` with _mix_source, _mix_start (characters of the source before the document) and _mix_block."""
-    rows = docs.withColumns({
-        "_mix_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "_mix_chars": F.coalesce(F.char_length("text"), F.lit(0)).cast("long"),
-        "_mix_bucket": F.expr(f"floor(coalesce(doc_id, 0) / {BUCKET})"),
-    })
-    run = ["_mix_source", "_mix_bucket"]
-    sums = rows.groupBy(*run).agg(F.sum("_mix_chars").alias("_mix_sum"))
-    earlier = Window.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+def _order() -> list[Column]:
+    return [F.asc_nulls_first("_mix_id"), F.asc("_mix_chars"), F.asc("_mix_row")]
+
+
+def _ranged(stored: DataFrame) -> DataFrame:
+    """Narrow rows with the range they lie in, _mix_part; stored, so that a row keeps its range."""
+    parts = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = stored.select("_mix_row", "_mix_source", F.col("doc_id").alias("_mix_id"), "_mix_chars")
+    return materialize(narrow.repartitionByRange(parts, "_mix_source", *_order()).withColumn("_mix_part", F.spark_partition_id()))
+
+
+def _started(stored: DataFrame) -> DataFrame:
+    """_mix_row, _mix_source and _mix_start (characters of the source before the document) of all stored rows."""
+    ranged = _ranged(stored)
+    run = ["_mix_source", "_mix_part"]
+    earlier = Window.partitionBy("_mix_source").orderBy("_mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*run).agg(F.sum("_mix_chars").alias("_mix_sum"))  # a row per source and range
     begins = sums.select(*run, F.coalesce(F.sum("_mix_sum").over(earlier), F.lit(0)).alias("_mix_begin"))
-    within = Window.partitionBy(*run).orderBy(F.asc_nulls_first("doc_id"), "_mix_chars").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    within = Window.partitionBy(*run).orderBy(*_order()).rowsBetween(Window.unboundedPreceding, -1)
     inside = F.coalesce(F.sum("_mix_chars").over(within), F.lit(0))
-    return (
-        rows.withColumn("_mix_inside", inside).join(begins, run)
-        .withColumn("_mix_start", F.col("_mix_begin") + F.col("_mix_inside"))
-        .withColumn("_mix_block", F.expr(f"_mix_start div {block_chars}"))
-        .drop("_mix_bucket", "_mix_begin", "_mix_inside")
+    return ranged.withColumn("_mix_inside", inside).join(begins, run).select(
+        "_mix_row", "_mix_source", (F.col("_mix_begin") + F.col("_mix_inside")).alias("_mix_start")
     )
 
 
@@ -93,38 +98,47 @@ def frames(sizes: DataFrame) -> DataFrame:
             F.sum(F.expr("(until - since) * slots")).over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ))
     )
+    # spread: otherwise the one row of all sources keeps every phase in its task
+    phases = phases.repartition(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "until")
     taken = phases.select("since", "until", "slots", "begin", F.posexplode(F.expr(_FRAME)).alias("slot", "source"))
     turns = Window.partitionBy("until", "source").orderBy("slot")
     return taken.withColumn("k", F.row_number().over(turns) - 1)
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, int], default: int = 1, block_chars: int = BLOCK_CHARS,
+    docs: DataFrame, weights: dict[str, int], default: int = 1, block_chars: int = BLOCK_CHARS, length: str | None = None,
 ) -> DataFrame:
     """`docs` with block (of the source, from 0), position (slot of that block in the mix) and start (place in the source).
 
-    Rows ordered by position, start and id are the mix.
+    Rows ordered by position, start and id are the mix. `length` names a column with the lengths of documents; without it
+    they are the characters of `text`.
     """
-    cut = cut_blocks(docs, block_chars)
+    chars = F.col(f"`{length}`") if length else F.char_length("text")
+    stored = materialize(docs.withColumns({
+        "_mix_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
+        "_mix_chars": F.coalesce(chars, F.lit(0)).cast("long"),
+        "_mix_row": F.monotonically_increasing_id(),
+    }))
+    own = _weight(F.col("_mix_source"), weights, default)
+    started = materialize(_started(stored).withColumn("_mix_block", F.expr(f"_mix_start div {block_chars}")))
     sizes = (
-        cut_blocks(docs.select("doc_id", "source", "text"), block_chars)
-        .groupBy(F.col("_mix_source").alias("source")).agg((F.max("_mix_block") + 1).alias("blocks"))
+        started.groupBy(F.col("_mix_source").alias("source")).agg((F.max("_mix_block") + 1).alias("blocks"))
         .withColumn("n", _weight(F.col("source"), weights, default))
     )
     frame = materialize(frames(sizes))
     plan = frame.select(*(F.col(c).alias(f"_mix_{c}") for c in ("source", "k", "slot", "since", "until", "slots", "begin")))
-    own = _weight(F.col("_mix_source"), weights, default)
-    turns = cut.withColumn("_mix_frame", F.floor(F.col("_mix_block") / own)).withColumn("_mix_k", F.col("_mix_block") % own)
-    return (
+    turns = started.withColumn("_mix_frame", F.floor(F.col("_mix_block") / own)).withColumn("_mix_k", F.col("_mix_block") % own)
+    placed = (
         turns.join(plan, ["_mix_source", "_mix_k"])
         .filter("_mix_frame >= _mix_since and _mix_frame < _mix_until")
         .select(
-            *(F.col(f"`{c}`") for c in docs.columns if c not in ("block", "position", "start")),
-            F.col("_mix_block").alias("block"),
+            "_mix_row", F.col("_mix_block").alias("block"),
             F.expr("_mix_begin + (_mix_frame - _mix_since) * _mix_slots + _mix_slot").alias("position"),
             F.col("_mix_start").alias("start"),
         )
     )
+    given = stored.select("_mix_row", *(F.col(f"`{c}`") for c in docs.columns if c not in ("block", "position", "start")))
+    return given.join(placed, "_mix_row").drop("_mix_row")
 
 
 def oracle(weights: dict[str, int], default: int = 1, block_chars: int = BLOCK_CHARS) -> str:

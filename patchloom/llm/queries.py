@@ -76,7 +76,8 @@ MIX_WEIGHTS = {"src0": 5, "src1": 3, "src2": 2}
 @query
 def op6_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every document in the mix of all sources."""
-    mixed = mixing.mix(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    lengths = table(spark, sf_dir, "documents").select("doc_id", "source", F.char_length("text").alias("chars"))
+    mixed = mixing.mix(lengths, MIX_WEIGHTS, length="chars")
     return mixed.select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "block", "position", "start")
 
 

@@ -5,6 +5,7 @@ import pytest
 from llm_cases import ODD
 
 from patchloom.llm import mixing
+from patchloom.llm.tables import materialize
 
 
 def corpus():
@@ -27,6 +28,31 @@ def test_mix_is_that_of_sql(documents):
     assert rows == Counter(con.execute(mixing.oracle(WEIGHTS, block_chars=64)).fetchall())
 
 
+def test_hashed_null_and_equal_ids_spread(documents):
+    """Orders that no bucket of ids could deal out; the same rows as SQL on any partitioning."""
+    rows = [((k * 0x9E3779B97F4A7C15) % (1 << 63) - (1 << 62), "x" * (k % 5 * 9), "s0") for k in range(1500)]
+    rows += [(None, "y" * (k % 3), "s1") for k in range(900)] + [(7, "same text", "s2")] * 900
+    docs = documents(rows)
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())  # pandas would round large ids beside nulls
+    want = Counter(con.execute(mixing.oracle(WEIGHTS, block_chars=64)).fetchall())
+    for parts in (1, 7):
+        got = mixing.mix(docs.repartition(parts), WEIGHTS, block_chars=64).collect()
+        assert Counter((r.doc_id, r.source, r.block, r.position, r.start) for r in got) == want
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows)
+    stored = materialize(docs.selectExpr("doc_id", "source as _mix_source", "cast(length(text) as long) as _mix_chars", "monotonically_increasing_id() as _mix_row"))
+    ranged = mixing._ranged(stored)
+    largest = max(r["count"] for r in ranged.groupBy("_mix_part").count().collect())
+    assert largest < len(rows) / 3  # each of the sources holds more
+
+
+def test_many_sources(documents):
+    rows = [(k, "x" * 64, f"s{k % 60:02d}") for k in range(600 + 30)]
+    got = mixing.mix(documents(rows), {}, block_chars=64).collect()
+    assert sorted(r.position for r in got) == list(range(len(rows)))
+    assert all(r.source == f"s{r.position % 60:02d}" for r in got)
+
+
 def test_deviation_is_below_one_block(documents):
     rows = [(k, "x" * 64, f"s{k % 4}") for k in range(1600)]
     got = mixing.mix(documents(rows), WEIGHTS, block_chars=64).collect()
