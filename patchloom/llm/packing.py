@@ -17,6 +17,7 @@ length that is null, below 1 or above the capacity has no place (null sequence_i
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -81,19 +82,26 @@ def tokenized_pieces(
 def in_file_order(docs: DataFrame) -> DataFrame:
     """doc_id, text and _order of `docs`: by the number of the part file that Spark wrote, then by the row in it.
 
-    Spark reads large files first and splits them, so only files know the order in which rows were written. Rows that don't
+    Spark reads large files first and splits them, so only files know the order in which rows were written. Files of the same
+    number are in the order of their paths; files of other names follow in that order. Rows that don't
     come straight from files are in the order of their partitions.
     """
     named = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
-    part = F.coalesce(F.expr("try_cast(regexp_extract(_metadata.file_name, '^part-([0-9]+)', 1) as long)"), F.lit(0))
-    filed = docs.select(*named, (part * FILE_ROWS + F.col("_metadata.row_index")).alias("_order"))
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     try:
-        filed.schema  # resolves _metadata
+        docs.select(path, row).schema  # resolves _metadata
     except AnalysisException:
         # partition in the upper bits, row in the lower 33
         at = F.monotonically_increasing_id()
         return docs.select(*named, (F.shiftright(at, 33) * FILE_ROWS + at % (1 << 33)).alias("_order"))
-    return filed
+    number = "try_cast(regexp_extract({}, '/part-([0-9]+)[^/]*$', 1) as long)"
+    found = [re.search(r"/part-([0-9]+)[^/]*$", name) for name in docs.inputFiles()]
+    if all(found) and len({int(m[1]) for m in found}) == len(found):  # the names alone tell the order
+        return docs.select(*named, (F.expr(number.format("_metadata.file_path")) * FILE_ROWS + row).alias("_order"))
+    by_name = Window.orderBy(F.expr(number.format("_path")).asc_nulls_last(), "_path")
+    ranks = docs.select(path.alias("_path")).distinct().withColumn("_part", F.row_number().over(by_name))  # a row per file
+    placed = docs.select(*named, path.alias("_path"), row.alias("_row")).join(ranks, "_path")
+    return placed.select("doc_id", "text", (F.col("_part") * FILE_ROWS + F.col("_row")).alias("_order"))
 
 
 class CapacityTree:

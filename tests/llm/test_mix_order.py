@@ -1,6 +1,8 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from test_tokens_packing import naive_bins
 
 import corpus_pipeline
@@ -35,6 +37,20 @@ def test_prefixes_of_the_sequences_keep_the_shares(spark, documents):
             assert abs(seen[s] / sum(seen.values()) - n / weights) < 0.1, (share, seen, tokens)
 
 
+def test_order_of_files_of_any_name(spark, tmp_path):
+    """Files of one number or of other names are not thrown together."""
+    names = ["part-00001-x.c000.parquet", "part-00001-x.c001.parquet", "part-00000-x.c000.parquet", "b.parquet", "a.parquet"]
+    for k, name in enumerate(names):
+        pq.write_table(pa.table({"doc_id": pa.array(range(10 * k, 10 * k + 10), pa.int64()), "text": ["t"] * 10}), tmp_path / name)
+    got = packing.in_file_order(spark.read.parquet(str(tmp_path))).collect()
+    assert len({r._order for r in got}) == 50
+    assert [r.doc_id // 10 for r in sorted(got, key=lambda r: r._order)][::10] == [2, 0, 1, 4, 3]
+    assert [r.doc_id % 10 for r in sorted(got, key=lambda r: r._order)] == list(range(10)) * 5
+    pq.write_table(pa.table({"doc_id": pa.array([3, 1, 2], pa.int64()), "text": ["t"] * 3}), tmp_path / "one.parquet")
+    alone = packing.in_file_order(spark.read.parquet(str(tmp_path / "one.parquet"))).orderBy("_order")
+    assert [r.doc_id for r in alone.collect()] == [3, 1, 2]
+
+
 def test_windows_hold_every_item_once_and_follow_the_order(spark):
     rng = random.Random(7)
     rows = [(k, 0, rng.randrange(1, 101), (k // 700 << 40) + k % 700) for k in range(3000)]
