@@ -6,7 +6,8 @@ looks like a private or public key, a length-prefixed SSH key, or a signed token
 algorithm. Base spans always stay; the method only adds spans.
 
 Edge cases: a null text counts as empty; rows are kept as they are (null, repeated ids too); an empty table gives an
-empty result. Offsets are code points, ends exclusive. Runs go on over line ends, plain or escaped; a key may start anywhere in
+empty result. Offsets are code points, ends exclusive. Runs go on over line ends, plain, escaped or
+followed by a comment mark; a key may start anywhere in
 a run, so also behind a path, and ends with one of its lines.
 """
 
@@ -39,13 +40,17 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]+)-----([A-Za-z0-9+/=\s]+)-----END \1--
 #: Base64 lines, the first not short; line ends may be escaped, as in JSON and string literals. Between lines a literal may
 #: end and another begin, joined by a plus sign, a comma or a backslash, and a comment mark may stand before each.
 _LINES = re.compile(
-    r"""[A-Za-z0-9+/_-]{40,}={0,2}(?:(?:[ \t]*(?:(?:\\+[rn]|[\r\n])[ \t]*)+|(?:\\+[rn])*["'][ \t]*[+,\\]?[ \t]*[\r\n]+[ \t]*["']"""
+    r"""[A-Za-z0-9+/_-]{40,}={0,2}(?:(?:[ \t]*[\r\n]+[ \t]*//[ \t]+|[ \t]*(?:(?:\\+[rn]|[\r\n])[ \t]*)+|(?:\\+[rn])*["'][ \t]*[+,\\]?[ \t]*[\r\n]+[ \t]*["']"""
     r"""|[ \t]*[\r\n]+[ \t]*[#*][ \t]*)[A-Za-z0-9+/_-]+={0,2})*"""
 )
 _LINE = re.compile(r"(?:(?<=\\r)|(?<=\\n)|(?<![A-Za-z0-9+/_\\-]))[A-Za-z0-9+/_-]+={0,2}")
+#: What stands between base64 lines but looks like one: it joins literals, or marks a comment.
+_MARKS = ("+", "//")
 #: What the base64 of a key starts with: a DER sequence, the length of an SSH type, the name of the newer SSH file.
 _KEY_START = re.compile(r"M[A-P]|AAAA|b3BlbnNzaC1rZXktdjE")
 _LONG_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
+#: Bytes in hexadecimal with colons between them, also over line ends.
+_COLON_HEX = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:\s*){31,}[0-9A-Fa-f]{2}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})(?=(\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*))")
 #: Base64 that starts with a brace, or with white space before one.
 _HEADER_START = re.compile(r"e[w-z0-9_-]|[CDI][A-Za-z0-9_-]")
@@ -184,7 +189,7 @@ def _key_sizes(data: bytes) -> list[int]:
 
 def _keys_in_lines(text: str, block: re.Match) -> Iterator[tuple[int, int, str]]:
     """Keys that start anywhere in a run of base64 lines, from left to right. A key says where it ends: with a line, or before a separator."""
-    found = (m for m in _LINE.finditer(text, *block.span()) if m.group() != "+")  # that joins literals
+    found = (m for m in _LINE.finditer(text, *block.span()) if m.group() not in _MARKS)
     lines = [(m.start(), m.start() + len(m.group().rstrip("=")), m.end()) for m in found]
     joined = "".join(text[a:b] for a, b, _ in lines)
     begins = list(itertools.accumulate((b - a for a, b, _ in lines), initial=0))  # of the lines, within `joined`
@@ -241,6 +246,10 @@ def added_spans(text: str) -> list[tuple[int, int, str]]:
             if kind := _kind(_decoded("".join(m[2].split()))):
                 found.append((m.start(), m.end(), kind))
     found += _tokens(text)
+    if "30:" in text:  # the tag of a sequence
+        for m in _COLON_HEX.finditer(text):
+            if kind := _kind(bytes.fromhex("".join(m.group().replace(":", " ").split()))):
+                found.append((*m.span(), kind))
     held = [(a, b) for a, b, _ in found]
     at = 0
     while m := _LINES.search(text, at):

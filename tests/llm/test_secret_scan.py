@@ -125,6 +125,8 @@ def test_keys_behind_tokens_in_literals_and_comments():
         ("\n".join(f'"{r}"' for r in rows), ["der"]),
         ("# " + "\n# ".join(rows), ["der"]),
         (" * " + "\n * ".join(rows), ["der"]),
+        ("// " + "\n// ".join(rows), ["der"]),
+        ("    // " + "\r\n    //\t".join(rows) + "\nint x;", ["der"]),
         (key.rstrip("=") + "/path" if not key.endswith("=") else key + " /path", ["der"]),
         ("\n".join(rows) + "\nand then words follow", ["der"]),
     ):
@@ -133,5 +135,17 @@ def test_keys_behind_tokens_in_literals_and_comments():
         assert key[-9:-2] not in S.mask(text), text
 
 
+def test_hexadecimal_with_colons():
+    plain = PKCS8.hex(":")
+    lined = ":\n    ".join(plain[k : k + 44] for k in range(0, len(plain), 45))
+    for text in (plain, plain.upper(), f"key: {lined}\nend", f"    {lined}\n", f"id ab:cd\n{plain} x"):
+        (a, b, kind), = S.added_spans(text)
+        assert kind == "der" and bytes.fromhex("".join(text[a:b].replace(":", " ").split())) == PKCS8
+        assert not S.added_spans(S.mask(text))
+    # a cut key, other bytes, and addresses are none
+    assert not any(map(S.added_spans, (plain[:-3], plain + ":00", bytes(range(90)).hex(":"), "30:82:aa " * 40)))
+    assert S.added_spans("30:82:" * 200_000) == []
+
+
 def test_key_starts_in_long_runs_cost_little():
     assert S.added_spans("MIIE" * 200_000) == [] and S.added_spans("\n".join(["MIIEabcd" * 8] * 5000)) == []
