@@ -1,7 +1,9 @@
 from types import SimpleNamespace
 
 import pandas as pd
+from pyspark.sql import functions as F
 
+from patchloom.checks import registry
 from patchloom.streaming import answers
 
 
@@ -74,3 +76,32 @@ def test_a_review_that_waits_ends_with_its_last_answer():
     assert handled(reviewer, TEXTS[1]) == CLOSED
     assert reviewer.now.value is None and reviewer.asked.value is None and reviewer.answers.value is None
     assert handled(reviewer, *ASKS) == []  # a micro-batch of questions that was run again
+
+
+def test_event_reviews_derive_their_tables_once(spark, monkeypatch):
+    """However many micro-batches the events come in."""
+    made = []
+
+    def table(name, schema):
+        def make(*_):
+            made.append(name)
+            return spark.createDataFrame([("n-1", "x")], schema)
+
+        return make
+
+    for name in ("pull_requests", "diffs", "pr_files", "commits", "file_contents"):
+        monkeypatch.setattr(registry.X, name, table(name, "pr_id string, head_sha string"))
+    payload = (
+        '{"action": "opened", "pull_request": {"number": 1, "head": {"sha": "x"}},'
+        ' "repository": {"name": "n", "owner": {"login": "o"}}}'
+    )
+    deliveries = spark.range(6).repartition(3).select(
+        F.col("id").alias("delivery_id"), F.lit("pull_request").alias("event_type"), F.lit(payload).alias("payload")
+    )
+    monkeypatch.setattr(registry.X, "pr_events", lambda *_: deliveries)
+    read = registry.reviews.read_events
+    monkeypatch.setattr(registry.reviews, "read_events", lambda s, path, n: read(s, path, 1))
+    monkeypatch.setattr(registry.review, "triage", lambda prs, diffs, *_: SimpleNamespace(triage_counts=diffs.select("pr_id", F.lit(1).alias("chunks"))))
+    got = registry.t1_event_reviews(spark, "").collect()
+    assert len(got) == 6 and {r.chunks for r in got} == {1}
+    assert made.count("diffs") == made.count("pull_requests") == made.count("pr_files") == made.count("commits") == 1
