@@ -173,25 +173,27 @@ def _spans(found: DataFrame, keys: list[str]) -> DataFrame:
     return fine.filter(F.coalesce(D.is_reviewable(F.col("file_path")), F.lit(False))).withColumn("end_line", F.col("start_line") + F.col("last_added")).drop("last_added")
 
 
-def _assembled(found: DataFrame, numbered: DataFrame, keys: list[str]) -> DataFrame:
-    """Chunk rows from the pieces of the hunks in `numbered` (keys, hunk_ord, chunk_ord, file_path, start_line, end_line)."""
-    body = F.col("body")
-    parts = found.select(
-        *keys, "hunk_ord", "block", F.filter(body, D.is_added).alias("added"), F.filter(body, lambda l: l.startswith(" ")).alias("context"),
-        F.when(F.size(body) > 0, F.array(F.concat(F.array_join(body, "\n"), F.lit("\n")))).otherwise(F.array().cast("array<string>")).alias("raw"),
-    )
-    on = [*keys, "hunk_ord"]
-    grouped = parts.join(numbered, on).groupBy(*keys, "chunk_ord").agg(
+def _assembled(found: DataFrame, numbered: DataFrame, keys: list[str], group: str = "chunk_ord") -> DataFrame:
+    """Chunk rows from the pieces of the hunks in `numbered` (keys, hunk_ord, chunk_ord, file_path, start_line, end_line).
+
+    Pieces go through the shuffles with their lines once; what a chunk holds of them is told apart when they are together. `group`:
+    the column that brings them together, `hunk_ord` where each hunk is a chunk, which leaves them where the join put them.
+    """
+    parts = found.select(*keys, "hunk_ord", "block", "body")
+    grouped = parts.join(numbered, [*keys, "hunk_ord"]).groupBy(*keys, group).agg(
+        *([] if group == "chunk_ord" else [F.first("chunk_ord").alias("chunk_ord")]),
         F.min_by("file_path", "hunk_ord").alias("file_path"), F.min_by("start_line", "hunk_ord").alias("start_line"),
-        F.max_by("end_line", "hunk_ord").alias("end_line"), _in_order("added").alias("added"), _in_order("context").alias("context"),
-        F.array_join(_in_order("raw"), "").alias("raw_patch"),
+        F.max_by("end_line", "hunk_ord").alias("end_line"), _in_order("body").alias("body"),
     )
+    body = F.col("body")
 
-    def text(name: str) -> Column:
-        return F.transform(name, lambda l: F.substring(l, 2, 2147483647))
+    def text(lines: Column) -> Column:
+        return F.transform(lines, lambda l: F.substring(l, 2, 2147483647))
 
+    raw = F.when(F.size(body) > 0, F.concat(F.array_join(body, "\n"), F.lit("\n"))).otherwise("")
     return grouped.select(
-        *keys, "chunk_ord", "file_path", "start_line", "end_line", text("added").alias("added_lines"), text("context").alias("context_lines"), "raw_patch"
+        *keys, "chunk_ord", "file_path", "start_line", "end_line", text(F.filter(body, D.is_added)).alias("added_lines"),
+        text(F.filter(body, lambda l: l.startswith(" "))).alias("context_lines"), raw.alias("raw_patch"),
     )
 
 
@@ -199,7 +201,7 @@ def parse_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """Chunk rows of diffs in blocks, before merging: equal to `diffs.parse_diffs` on whole diffs. Keys are not null."""
     found = pieces(blocks, keys)
     spans = scan(_spans(found, keys), keys, "hunk_ord", total={"chunk_ord": F.lit(1).cast("bigint")})
-    return _assembled(found, spans, keys)
+    return _assembled(found, spans, keys, "hunk_ord")
 
 
 def review_blocks(blocks: DataFrame, keys: list[str]) -> DataFrame:
