@@ -166,6 +166,19 @@ def partial_loss(features: pa.ListArray, grades: np.ndarray, theta: np.ndarray,
     return float(-np.log(p).sum()), gradient
 
 
+def packed(gradient: np.ndarray) -> bytes:
+    """A gradient in single precision: a bit for each place, then what is not zero. Most features are in no text of a partition."""
+    held = gradient.astype(np.float32)
+    return np.packbits(held != 0).tobytes() + held[held != 0].tobytes()
+
+
+def add_packed(sums: np.ndarray, gradient: bytes) -> None:
+    """Adds a gradient that `packed` made to `sums`."""
+    bits = (len(sums) + 7) // 8
+    places = np.unpackbits(np.frombuffer(gradient, np.uint8, bits), count=len(sums)).astype(bool)
+    sums[places] += np.frombuffer(gradient[bits:], np.float32)
+
+
 def _minimise(loss, theta: np.ndarray, steps: int) -> np.ndarray:
     """L-BFGS with a halving line search; `loss` gives value and gradient."""
     value, gradient = loss(theta)
@@ -229,15 +242,15 @@ def fit(rated: DataFrame, grades: int, bits: int = BITS, max_rated: int = MAX_RA
                 v, g = partial_loss(batch.column(1), batch.column(0).to_numpy(), held.value, size)
                 value, gradient = value + v, gradient + g
             yield pa.RecordBatch.from_arrays(
-                [pa.array([value]), pa.array([gradient.astype(np.float32).tobytes()])], names=["value", "gradient"]
+                [pa.array([value]), pa.array([packed(gradient)])], names=["value", "gradient"]
             )
 
         value, gradient = 0.0, np.zeros(size + cuts)
         sums = stored.select("grade", "features").coalesce(PARTS).mapInArrow(part, "value double, gradient binary")
         for v, g in sums.collect():  # a row per partition, of which there are PARTS at most
             value += v
-            gradient += np.frombuffer(g, np.float32)
-        held.unpersist()
+            add_packed(gradient, g)
+        held.destroy()  # on the driver as well, or it would keep the weights of every step
         weights = theta[:size]
         value = value / total + 0.5 * penalty * float(weights @ weights)
         gradient /= total

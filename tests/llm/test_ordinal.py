@@ -35,6 +35,39 @@ def test_gradient():
         assert abs((up - down) / 2e-6 - gradient[k]) < 1e-4
 
 
+def test_packed_gradients():
+    rng = np.random.default_rng(2)
+    for size in (1, 8, 43, 1 << 14):
+        for share in (0.0, 0.1, 1.0):
+            parts = [np.where(rng.random(size) < share, rng.normal(0, 1, size), 0.0) for _ in range(3)]
+            sums, plain = np.zeros(size), np.zeros(size)
+            for part in parts:
+                ordinal.add_packed(sums, ordinal.packed(part))
+                plain += part.astype(np.float32)
+            assert (sums == plain).all()
+    assert len(ordinal.packed(np.eye(1, 1 << 14)[0])) < 4 * (1 << 14) / 30  # no bytes for the zeros
+
+
+def test_fit_keeps_no_weights_on_the_driver(spark, monkeypatch):
+    """The driver drops the weights of a step when the step is done."""
+    sent, gone = [], []
+    kind = type(spark.sparkContext.broadcast(0))
+    made, destroy = kind.__init__, kind.destroy
+
+    def counted(self, *args, **named):
+        made(self, *args, **named)
+        sent.append(id(self))
+
+    def dropped(self, *args, **named):
+        destroy(self, *args, **named)
+        gone.append(id(self))
+
+    monkeypatch.setattr(kind, "__init__", counted)
+    monkeypatch.setattr(kind, "destroy", dropped)
+    ordinal.fit(spark.createDataFrame(rated(60, 4), "doc_id long, text string, grade int"), 3, bits=10, steps=3)
+    assert len(sent) >= 3 and len(gone) == len(sent)
+
+
 def test_held_out_accuracy(spark, documents):
     frame = spark.createDataFrame(rated(500, 1), "doc_id long, text string, grade int")
     model = ordinal.fit(frame, 3, bits=14)
