@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patchloom.functions import constants as C
-from patchloom.functions.regex import pattern
+from patchloom.functions.regex import folded_pattern, opening
 from patchloom.functions.text import folded
 from patchloom.operators import diffs as D
 from patchloom.operators.features import chunk_features
@@ -23,15 +23,23 @@ LAYERS = [len(C.VECTOR_COLUMNS), 128, 128, 64, 2]
 
 def commit_label() -> Column:
     """``bugfix``, ``clean`` or ``skip``, from the first line of the message."""
-    first_line = folded(F.regexp_extract("message", r"\A([^\n]*)", 1))
-    fix = first_line.rlike(pattern(C.LABEL_FIX_PATTERN.lower()))
-    clean = first_line.rlike(pattern(C.LABEL_CLEAN_PATTERN.lower()))
-    return F.when(fix & ~clean, F.lit("bugfix")).when(clean & ~fix, F.lit("clean")).otherwise(F.lit("skip"))
+    first_line = folded(F.substring_index("message", "\n", 1))
+    fix = first_line.rlike(_words_pattern(C.LABEL_FIX_PATTERN))
+    clean = first_line.rlike(_words_pattern(C.LABEL_CLEAN_PATTERN))
+    # nested, so that each search runs once at most
+    return F.when(fix, F.when(clean, F.lit("skip")).otherwise(F.lit("bugfix"))).when(clean, F.lit("clean")).otherwise(F.lit("skip"))
+
+
+def _words_pattern(text: str) -> str:
+    """A pattern ``\\b(word|word ...)\\b`` for folded text, with a look at the words' first letters."""
+    words = text.lower().removeprefix(r"\b(").removesuffix(r")\b").split("|")
+    return folded_pattern(opening(words) + text)
 
 
 def labelled_commits(commits: DataFrame) -> DataFrame:
     """Commits that speak of a fix only (label 1) or of a feature only (label 0)."""
-    kinds = commits.withColumn("kind", commit_label()).filter(F.col("kind") != "skip")
+    # the filter stays behind the outer form; moved down to the scan, it would search each message again, on as few tasks as there are files
+    kinds = commits.select("*", F.explode_outer(F.array(commit_label())).alias("kind")).filter(F.col("kind") != "skip")
     return kinds.withColumn("label", (F.col("kind") == "bugfix").cast("int"))
 
 

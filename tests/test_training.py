@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from patchloom.functions.constants import SEED_REPOS, VECTOR_COLUMNS
 from patchloom.operators import training
 from patchloom.plans import collect
-from patchloom.sources import landed, recent, sinks
+from patchloom.sources import fixtures, landed, recent, sinks
 
 COMMIT = "repo string, file_path string, committed_at timestamp, sha string, message string"
 
@@ -176,3 +176,18 @@ def test_recent_commits_by_increments(spark, tmp_path):
         assert sorted(recent.read(spark, path).select(columns).collect()) == sorted(full.select(columns).collect())
     touched = spark.read.parquet(f"{path}/recent").filter("commit_batch = 1").select("bucket").distinct().count()
     assert touched == len({(r, f) for r, f, *_ in log[150:152]})
+
+
+def test_labels_and_diffs_are_worked_out_once_and_where_the_rows_were_dealt_out(spark, tmp_path):
+    rows = [(e, kind, f"2024-01-01 00:00:{e % 60:02d}") for e, kind in enumerate(["error", "signup", "click", "view"] * 10)]
+    events = spark.createDataFrame(rows, "event_id bigint, event_type string, ts string")
+    events.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    sf = str(tmp_path)
+    labelled = training.labelled_commits(fixtures.commits(spark, sf)).select("sha", "label")
+    joined = landed.commits_with_diffs(labelled, fixtures.commit_diffs(spark, sf))
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE(") == 3  # fixes, and features in either branch; the filter repeats none
+    assert plan.count("diff --git") == 1
+    below = plan[plan.index("RepartitionByExpression"):]
+    assert "RLIKE(" not in below.split("Generate")[0]
+    assert joined.count() == len([e for e in range(40) if e % 4 < 2 and e % 23 > 1])
